@@ -31,7 +31,7 @@ D = len(STATS)
 #: estimate; smaller groups use their language's, then that of all rows.
 SUPPORT, STEPS, MIN_ROWS = 0.75, 6, 50
 #: Least standard deviation of each statistic: a statistic that is the same nearly everywhere isn't infinitely telling.
-FLOOR = (0.05, 0.10, 0.10, 0.05, 0.25)
+FLOOR = (0.12, 0.20, 0.60, 0.15, 0.40)
 #: Squared distance beyond which a row is rejected: chi-square with D degrees of freedom, chance about 1e-6.
 CUTOFF = 35.89
 #: Rows within this chi-square quantile (D degrees of freedom, 97.5 %) of the raw estimate make the final one.
@@ -71,8 +71,7 @@ def repeated_words(words: list[bytes], window: int = 5) -> int:
         return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
 
     two = rank(one[:-1], one[1:])
-    four = rank(two[:-2], two[2:])
-    last = one[4:]
+    four, last = rank(two[:-2], two[2:])[:n], one[4:]
     key = four * (int(last.max()) + 1) + last
     _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
     start = np.flatnonzero(count[inverse] > 1)
@@ -219,10 +218,11 @@ def outlier_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = name("lang", "source")
     good = stats.where(~F.col("base_failed")).select("lang", own.alias("own"), "x")
     sizes = materialize(good.groupBy("lang", "own").agg(F.count("*").alias("n")), "group-sizes")
-    by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("in_lang"))
-    level = sizes.join(by_lang, sizes["lang"].eqNullSafe(by_lang["lang"])).select(
-        "own", F.when(F.col("n") >= min_rows, F.col("own")).when(F.col("in_lang") >= min_rows, name(sizes["lang"])).otherwise("*").alias("g"), sizes["lang"].alias("lang"))
-    level = sized(level, "levels").drop("lang")
+    by_lang = sizes.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("in_lang"))
+    level = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("of"))).select(
+        "own", F.when(F.col("n") >= min_rows, F.col("own")).when(F.col("in_lang") >= min_rows, name("lang")).otherwise("*").alias("g"),
+    )
+    level = sized(level, "levels")
     ways = level.select("g").distinct().agg(F.max(F.col("g").startswith('{"lang"') & ~F.col("g").contains('"source"')), F.max(F.col("g") == "*")).first()
     parts = good.join(level, "own").where(F.col("g") == F.col("own")).select("g", "x")
     if ways[0]:

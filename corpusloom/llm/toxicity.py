@@ -8,6 +8,7 @@ is then scored over its whole text, map-side.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,19 +21,27 @@ from pyspark.sql import types as T
 from .common import as_bytes, materialize, schema_with, text_chunks
 
 #: Labelled rows that the model is fitted on, at most: those with the least md5 of seed and id.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 #: Words in fewer sampled documents are no features.
 MIN_DOCS = 5
 #: A marker: a word this much more frequent among toxic documents, in this share of them at least.
 LIFT, SHARE = 20.0, 0.02
 GRADES = 4
+#: Documents of at least this chance of a grade above 0 are toxic.
+REJECT = 0.4
+#: Lengths (bytes) of a word's beginnings that are features; MANY different words with one beginning are another feature.
+PREFIX, MANY = (4, 5, 6), 3
 #: ASCII punctuation parts words, A-Z is lower-cased; bytes above 127 stay.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 def features(text: bytes) -> list[int]:
-    """Sorted distinct hashes of the text's words."""
-    return sorted({zlib.crc32(w) for w in set(text.translate(TABLE).split())})
+    """Sorted distinct hashes of the text's words and of their beginnings (PREFIX bytes), so that inflected forms of a word
+    share features; a beginning that many different words of the text share counts once more."""
+    words = set(text.translate(TABLE).split())
+    starts = Counter([w[:n] for w in words for n in PREFIX if len(w) > n])
+    found = words | {b"*" + s for s, n in starts.items() if n >= MANY} | {s + b"-" for s in starts}
+    return sorted(set(map(zlib.crc32, found)))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -52,8 +61,10 @@ class OrdinalModel:
         return [float(p) for p in sigmoid(np.array([score - t for t in self.thresholds]))]
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 2e-3, steps: int = 250, rate: float = 0.1) -> OrdinalModel:
-    """Proximal Adam on the mean negative log-likelihood; the l1 penalty keeps the weights few. Deterministic.
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: float = 4e-3, refit: float = 2e-4, steps: int = 250, rate: float = 0.1) -> OrdinalModel:
+    """Proximal Adam on the mean negative log-likelihood, twice: the l1 penalty chooses few words, and their weights are
+    fitted again with hardly any penalty, so that they aren't shrunk. Weights
+    aren't negative: a word can be evidence of toxicity, but no amount of harmless text outweighs it. Deterministic.
 
     rows: sorted distinct feature hashes of each document. Grades that don't occur have no threshold of their own.
     """
@@ -64,39 +75,44 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, l1: f
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     vocabulary, column, df = np.unique(flat, return_inverse=True, return_counts=True)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used = df >= MIN_DOCS
-    number = np.cumsum(used) - 1
-    doc, column, vocabulary = doc[used[column]], number[column[used[column]]], vocabulary[used]
-    k, n = len(present) - 1, len(rows)
+    # weights can't be negative: words that aren't more frequent above the least grade could never enter
+    high = np.bincount(column, weights=(level > 0)[doc], minlength=len(vocabulary))
+    for penalty, used in ((l1, (high >= MIN_DOCS) & (high * len(rows) > df * (level > 0).sum())), (refit, None)):
+        if used is None:
+            used = weights > 0
+        number = np.cumsum(used) - 1
+        doc, column, vocabulary = doc[used[column]], number[column[used[column]]], vocabulary[used]
+        weights, thresholds = _proximal_adam(doc, column, len(vocabulary), level, len(present) - 1, penalty, steps, rate)
+    return OrdinalModel({int(f): float(x) for f, x in zip(vocabulary, weights, strict=True) if x}, thresholds.tolist())
+
+
+def _proximal_adam(doc: np.ndarray, column: np.ndarray, d: int, level: np.ndarray, k: int, l1: float, steps: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (d) and thresholds (k) for ones at (doc, column) and levels 0 to k."""
+    n, at = len(level), np.arange(len(level))
     above = np.array([(level > j).mean() for j in range(k)])
-    t0, gaps = -np.log(above[0] / (1 - above[0])), np.log(np.maximum(np.diff(-np.log(above / (1 - above))), 1e-2))
-    p = np.concatenate([np.zeros(len(vocabulary)), [t0], gaps])
+    logit = -np.log(above / (1 - above))
+    p = np.concatenate([np.zeros(d), logit[:1], np.log(np.maximum(np.diff(logit), 1e-2))])
+    thresholds = lambda: p[d] + np.concatenate([[0.0], np.cumsum(np.exp(p[d + 1 :]))])
     m, v = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
-        w, t = p[: len(vocabulary)], p[len(vocabulary)] + np.concatenate([[0.0], np.cumsum(np.exp(p[len(vocabulary) + 1 :]))])
-        score = np.bincount(doc, weights=w[column], minlength=n)
-        up = np.concatenate([np.ones((n, 1)), sigmoid(score[:, None] - t), np.zeros((n, 1))], axis=1)
+        z = np.bincount(doc, weights=p[column], minlength=n)[:, None] - thresholds()
+        up = np.concatenate([np.ones((n, 1)), sigmoid(z), np.zeros((n, 1))], axis=1)
         slope = up * (1 - up)
-        rows_at = np.arange(n)
-        chance = np.maximum(up[rows_at, level] - up[rows_at, level + 1], 1e-12)
-        by_score = -(slope[rows_at, level] - slope[rows_at, level + 1]) / chance / n
-        by_t = np.zeros(k)
-        for j in range(k):
-            by_t[j] = (np.where(level == j + 1, slope[:, j + 1] / chance, 0) - np.where(level == j, slope[:, j + 1] / chance, 0)).sum() / n
-        by_gap = np.array([by_t[j + 1 :].sum() * np.exp(p[len(vocabulary) + 1 + j]) for j in range(k - 1)])
-        g = np.concatenate([np.bincount(column, weights=by_score[doc], minlength=len(vocabulary)), [by_t.sum()], by_gap])
+        chance = np.maximum(up[at, level] - up[at, level + 1], 1e-12)
+        by_score = -(slope[at, level] - slope[at, level + 1]) / chance / n
+        by_t = np.array([(np.where(level == j + 1, slope[:, j + 1], 0) - np.where(level == j, slope[:, j + 1], 0)) @ (1 / chance) / n for j in range(k)])
+        by_gap = [by_t[j + 1 :].sum() * np.exp(p[d + 1 + j]) for j in range(k - 1)]
+        g = np.concatenate([np.bincount(column, weights=by_score[doc], minlength=d), [by_t.sum()], by_gap])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         size = rate / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         p = p - size * m / (1 - 0.9**step)
-        w = p[: len(vocabulary)]
-        p[: len(vocabulary)] = np.sign(w) * np.maximum(np.abs(w) - l1 * size[: len(vocabulary)], 0)
-    t = p[len(vocabulary)] + np.concatenate([[0.0], np.cumsum(np.exp(p[len(vocabulary) + 1 :]))])
-    return OrdinalModel({int(f): float(x) for f, x in zip(vocabulary, p[: len(vocabulary)], strict=True) if x}, t.tolist())
+        p[:d] = np.maximum(p[:d] - l1 * size[:d], 0)
+    return p[:d], thresholds()
 
 
 def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """Grades from yes/no labels: 0 not toxic; toxic with up to one, up to three, or more distinct marker words: 1, 2, 3.
-    Markers are the words that are far more frequent in the sample's toxic documents."""
+    """Grades from yes/no labels: 0 not toxic; 1, 2, 3 for the thirds of the toxic documents by their number of markers,
+    which are the features that are far more frequent in the sample's toxic documents."""
     n_toxic, n_clean = int(toxic.sum()), int((1 - toxic).sum())
     if not n_toxic:
         return np.zeros(len(rows), dtype=np.int64)
@@ -105,7 +121,8 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     bad, good = count([r for r, t in zip(rows, toxic, strict=True) if t]), count([r for r, t in zip(rows, toxic, strict=True) if not t])
     marker = set(words[(bad >= max(MIN_DOCS, SHARE * n_toxic)) & (bad / n_toxic > LIFT * (good + 0.5) / (n_clean + 1))].tolist())
     hits = np.array([sum(f in marker for f in r.tolist()) for r in rows])
-    return np.where(toxic > 0, 1 + (hits > 1) + (hits > 3), 0)
+    low, high = np.quantile(hits[toxic > 0], [1 / 3, 2 / 3])
+    return np.where(toxic > 0, 1 + (hits > low) + (hits > high), 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", grade: str | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> OrdinalModel:
@@ -129,7 +146,7 @@ def _hashes(text: pa.Array) -> pa.Array:
     return pa.array([np.array(features(t), dtype="<u4").tobytes() for t in as_bytes(text)], pa.binary())
 
 
-def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject: float = REJECT) -> DataFrame:
     """All columns with expected_severity (double, rounded to 6), grade (int: thresholds more likely passed than not) and
     toxic (boolean: P(grade > 0) >= reject) added or replaced. Null and empty text have no features. No rows: no rows."""
     out = ("expected_severity", T.DoubleType()), ("grade", T.IntegerType()), ("toxic", T.BooleanType())
