@@ -43,11 +43,28 @@ def test_fuzz_against_library(reference):
     alphabet = "aàé zZ09\t\n\r\x0b\x1c\x85\xa0 ​'slre.,#_-ßΩ中🙂́"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(400)]
     c = bpe.codec(RANKS, PATTERN)
-    ids = c.encode(texts)
+    ids, back = c.encode(texts)
+    assert back == [t.encode() for t in texts]
     assert [np.frombuffer(x, dtype="<u4").tolist() for x in ids] == [reference.encode_ordinary(t) for t in texts]
     assert c.decode(ids) == [t.encode() for t in texts]
 
 
+def test_words_outlive_the_cache(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    c = bpe.Codec(RANKS, PATTERN)
+    for t in ["one two three four", "four fiver sixer", "one two sixer", "nothing old", "four one nothing"] * 2:
+        assert np.frombuffer(c.encode([t])[0][0], dtype="<u4").tolist() == reference.encode_ordinary(t)
+    assert len(c.young) + len(c.old) < 20
+
+
+def test_faster_pattern_is_the_same():
+    assert PATTERN in bpe.FASTER
+    rng = random.Random(8)
+    for _ in range(3000):
+        t = "".join(rng.choice("ab1 \t\n'stredvml.,é²\u2028_") for _ in range(rng.randint(0, 25)))
+        assert regex.findall(PATTERN, t) == regex.findall(bpe.FASTER[PATTERN], t)
+
+
 def test_decode_column(docs):
     done = bpe.decode_column(bpe.bpe_round_trip(docs, RANKS, PATTERN), RANKS, PATTERN).collect()
     assert all(bytes(r["decoded"]) == (r["text"] or "").encode() for r in done)
