@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, packing, quality, secrets, sharding, simhash, toxicity
+from . import bpe, exact_dedup, mixing, packing, quality, secrets, sharding, simhash, suffix, toxicity
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -67,6 +67,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_packing, op4_bpe, op5_toxicity, op6_sharding, op7_exact_dedup, op8_secrets, op9_simhash, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_packing, op4_bpe, op5_toxicity, op6_sharding, op7_exact_dedup, op8_secrets, op9_simhash, op10_suffix, pipeline)}
 
 
 def _weight(level: str) -> str:
