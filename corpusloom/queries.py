@@ -309,7 +309,7 @@ def storage_estimate(spark, sf):
     return spark.createDataFrame([(5_000_000_000, 30_000_000), (512, 128)], "tokens long, docs long").select("tokens", "docs", B.stage_bytes(F.col("tokens"), F.col("docs")).alias("bytes"))
 
 
-@query("select cycles, 54125440 * 12 + 1048576 as bytes_each, cycles * 9 + cycles as checkpoints, (54125440 * 12 + 1048576) * (cycles * 10) as total from (values (2::bigint), (5)) v(cycles)")
+@query("select cycles, (54125440::bigint * 12 + 1048576) as bytes_each, cycles * 9 + cycles as checkpoints, (54125440 * 12 + 1048576) * (cycles * 10) as total from (values (2::bigint), (5)) v(cycles)")
 def checkpoint_estimate(spark, sf):
     each = F.lit(54_125_440 * 12 + (1 << 20)).cast("long")
     c = F.col("cycles")
