@@ -30,7 +30,7 @@ from .common import as_bytes, materialize, shared_dir, text_chunks
 #: Bytes of a window, and of an anchor; a window holds DEPTH - ANCHOR + 1 strings of that length.
 DEPTH, ANCHOR = 50, 25
 #: Bytes of text in a block, and in one step of the array work.
-BLOCK_BYTES, STEP_BYTES = 8 << 20, 1 << 20
+BLOCK_BYTES, STEP_BYTES = 4 << 20, 1 << 20
 #: Anchors in a radix bucket on average; a text has about 2 / 27 of its bytes as anchors.
 BUCKET_ROWS = 1 << 20
 #: Bytes of text in a storage bucket.
@@ -121,25 +121,43 @@ class Runs:
             out[:, j] = mixed(((total[end] - total[lo]) * np.multiply.accumulate(down)[lo]) ^ (shape * U(2 * j + 1)))
         return out
 
-    def windows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(run, start, 128 bits) of every window of the runs."""
-        count = self.hi[at] - self.lo[at] + 1
-        run = np.repeat(at, count)
-        start = np.repeat(self.lo[at] - (np.cumsum(count) - count), count) + np.arange(len(run))
-        return run, start, np.stack([mixed(rolling(self.data, DEPTH, b)[start]) for b in BASES], axis=1) if len(run) else np.zeros((0, 2), U)
+
+def radix(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a 64-bit hash by its upper bits, so that the order of keys is the order of buckets, too."""
+    return (((key >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
+
+
+def grouped(keys: np.ndarray, ids: np.ndarray, sort_by: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows of keys (n, k) in ascending order of their first sort_by columns, the least id of each, and each
+    row's place among them. The columns are hashes: if equal first ones ever differ in the rest, all columns are sorted."""
+    if not len(keys):
+        return keys, ids, np.zeros(0, np.int64)
+    order = np.argsort(keys[:, 0]) if sort_by == 1 else np.lexsort(keys[:, :sort_by].T[::-1])
+    k = keys[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
+    if (new[1:] & (k[1:, :sort_by] == k[:-1, :sort_by]).all(axis=1)).any():
+        order = np.lexsort(keys.T[::-1])
+        k = keys[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return k[new], np.minimum.reduceat(ids[order], np.flatnonzero(new)), place
 
 
 class Block:
-    """One stored block. `steps` recomputes the runs, the same each time."""
+    """One stored block."""
 
     def __init__(self, ids: list[int | None], sizes: list[int], body: bytes, buckets: int):
         raw = zstandard.ZstdDecompressor().decompress(body, max_output_size=sum(sizes)) if sum(sizes) else b""
         ends = np.cumsum(sizes).tolist()
         self.texts = [raw[b - n : b] for b, n in zip(ends, sizes, strict=True)]
+        self.data = np.frombuffer(raw, np.uint8)
+        self.starts = np.cumsum(np.array(sizes, dtype=np.int64)) - np.array(sizes, dtype=np.int64)
         self.ids = np.array([NO_ID if i is None else i for i in ids], dtype=np.int64)
         self.raw_ids, self.buckets = ids, buckets
 
     def steps(self) -> Iterator[tuple[int, Runs]]:
+        """(first document, runs), the same each time."""
         at = 0
         while at < len(self.texts):
             end, total = at, 0
@@ -151,163 +169,160 @@ class Block:
 
     def code(self, key: np.ndarray) -> np.ndarray:
         """A run's place in the first pass: radix bucket, then 31 bits. Keys that share it are told apart later."""
-        return (((key >> U(32)) % U(self.buckets)) << U(31) | (key & U(0x7FFFFFFF))).astype(np.int64)
+        return radix(key, self.buckets) << 31 | (key & U(0x7FFFFFFF)).astype(np.int64)
 
-    def first_digits(self) -> tuple[np.ndarray, np.ndarray]:
+    def first_digits(self, steps: list[tuple[int, Runs]] | Iterator[tuple[int, Runs]]) -> tuple[np.ndarray, np.ndarray]:
         """Distinct codes in order, and whether several documents of this block have them."""
-        codes, ids = [], []
-        for at, runs in self.steps():
+        codes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, runs in steps:
             codes.append(self.code(runs.key))
             ids.append(self.ids[at + runs.doc])
-        c, d = np.concatenate(codes or [np.zeros(0, np.int64)]), np.concatenate(ids or [np.zeros(0, np.int64)])
-        order = np.lexsort((d, c))
+        c, d = np.concatenate(codes), np.concatenate(ids)
+        order = np.argsort(c)
         c, d = c[order], d[order]
-        new = np.concatenate([[True], c[1:] != c[:-1]]) if len(c) else np.zeros(0, bool)
-        other = np.concatenate([[False], (c[1:] == c[:-1]) & (d[1:] != d[:-1])]) if len(c) else new
-        group = np.cumsum(new) - 1
-        several = np.zeros(int(new.sum()), bool)
-        several[group[other]] = True
-        return c[new], several
-
-    def second_digits(self, live: np.ndarray) -> Iterator[tuple[int, Runs, np.ndarray, np.ndarray]]:
-        """For each step: the runs whose code is among the live ones, and (key, span) of each as three numbers."""
-        for at, runs in self.steps():
-            code = self.code(runs.key)
-            where = np.searchsorted(live, code)
-            hit = np.flatnonzero((where < len(live)) & (live[np.minimum(where, len(live) - 1)] == code)) if len(live) else np.zeros(0, np.int64)
-            yield at, runs, hit, np.concatenate([runs.key[hit, None], runs.spans(hit)], axis=1) if len(hit) else np.zeros((0, 3), U)
-
-
-def distinct_with_least(keys: np.ndarray, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows of keys in the order of (radix bucket, key), the least id of each, and their buckets."""
-    bucket = (keys[:, 0] >> U(32)) % U(buckets)
-    order = np.lexsort((ids, *keys.T[::-1], bucket))
-    keys, ids, bucket = keys[order], ids[order], bucket[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, bool)
-    return keys[new], ids[new], bucket[new].astype(np.int64)
-
-
-def find_rows(table: np.ndarray, rows: np.ndarray, buckets: int) -> np.ndarray:
-    """Indices of rows in a table made by distinct_with_least, which holds all of them."""
-    both = np.concatenate([table, rows])
-    bucket = (both[:, 0] >> U(32)) % U(buckets)
-    order = np.lexsort((np.arange(len(both)), *both.T[::-1], bucket))
-    rank = np.cumsum(order < len(table)) - 1
-    out = np.empty(len(both), np.int64)
-    out[order] = rank
-    return out[len(table) :]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+        return c[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first) if len(c) else first > 0
 
 
-def send(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The columns, cut by bucket (ascending) and laid end to end."""
+def cut_by(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of an ascending array."""
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     edges = [0, *cuts.tolist(), len(bucket)]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        if b > a:
-            yield int(bucket[a]), b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)
+    return [(int(bucket[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if b > a]
+
+
+def send(bucket: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The columns, cut by bucket (ascending) and laid end to end."""
+    for x, a, b in cut_by(bucket):
+        yield x, b"".join(np.ascontiguousarray(c[a:b]).tobytes() for c in columns)
+
+
+def first_pass(block: Block) -> Iterator[tuple[int, bytes]]:
+    codes, several = block.first_digits(block.steps())
+    return send(codes >> 31, ((codes & 0x7FFFFFFF) << 1 | several).astype("<u4"))
+
+
+def second_pass(block: Block, answers: list[bytes], number: int) -> Iterator[tuple[int, bytes]]:
+    """The live runs' (anchor, span) with the least id; and, under a number below 0 that only this block has, the live runs
+    themselves: start and length in the block, and the place of their pair among the distinct ones."""
+    steps = list(block.steps())
+    codes, _ = block.first_digits(steps)
+    live = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(x, np.uint8), count=b - a).astype(bool) for (_, a, b), x in zip(cut_by(codes >> 31), answers, strict=True))])
+    lo, n, ids, rows = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 3), U)])
+    for at, runs in steps:
+        hit = np.flatnonzero(live[np.searchsorted(codes, block.code(runs.key))])
+        if len(hit):
+            lo.append(block.starts[at] + runs.lo[hit])
+            n.append(runs.hi[hit] - runs.lo[hit] + 1)
+            ids.append(block.ids[at + runs.doc[hit]])
+            rows.append(np.concatenate([runs.key[hit, None], runs.spans(hit)], axis=1))
+    del steps
+    keys, least, place = grouped(np.concatenate(rows), np.concatenate(ids), 2)
+    if len(place):
+        yield -1 - number, b"".join([np.concatenate(lo).astype("<u4").tobytes(), place.astype("<u4").tobytes(), np.concatenate(n).astype("u1").tobytes()])
+    yield from send(radix(keys[:, 0], block.buckets), keys, least)
+
+
+class Live:
+    """The live runs of a block, with the answers to the second pass: which are repeats in full, which are still open."""
+
+    def __init__(self, block: Block, answers: list[bytes]):
+        self.block = block
+        m = len(answers[0]) // 9 if answers else 0
+        lo, place, n = (np.frombuffer(answers[0], d, count=m, offset=o) for d, o in (("<u4", 0), ("<u4", 4 * m), ("u1", 8 * m))) if m else [np.zeros(0, np.int64)] * 3
+        self.lo, self.n = lo.astype(np.int64), n.astype(np.int64)
+        smaller, several = received(answers[1:], 2)
+        self.doc = np.searchsorted(block.starts, self.lo, side="right") - 1
+        ids = block.ids[self.doc]
+        own = np.full(len(smaller), NO_ID)
+        np.minimum.at(own, place, ids)
+        self.repeat = smaller[place] | (own[place] < ids)
+        self.open = np.flatnonzero(~self.repeat & several[place])
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, id, 128 bits) of the open runs' windows."""
+        n, lo = self.n[self.open], self.lo[self.open]
+        start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out = np.empty((len(start), 2), U)
+        for a in range(0, len(self.block.data), STEP_BYTES):
+            i, j = np.searchsorted(start, [a, a + STEP_BYTES])
+            if j > i:
+                part = self.block.data[a : a + STEP_BYTES + DEPTH]
+                for k, base in enumerate(BASES):
+                    out[i:j, k] = mixed(rolling(part, DEPTH, base)[start[i:j] - a])
+        return start, np.repeat(self.block.ids[self.doc[self.open]], n), out
+
+
+def third_pass(block: Block, answers: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    _, ids, rows = Live(block, answers).windows()
+    keys, least, _ = grouped(rows, ids, 1)
+    return send(radix(keys[:, 0], block.buckets), keys, least)
+
+
+def removed_bytes(block: Block, second: list[bytes], third: list[bytes]) -> np.ndarray:
+    """Whether each byte of the block goes."""
+    live = Live(block, second)
+    start, ids, rows = live.windows()
+    _, own, place = grouped(rows, ids, 1)
+    (smaller,) = received(third, 1)
+    single = start[smaller[place] | (own[place] < ids)]
+    step = np.zeros(len(block.data) + 1, np.int32)
+    lo, n = live.lo[live.repeat], live.n[live.repeat]
+    for at, by in ((lo, 1), (lo + n - 1 + DEPTH, -1), (single, 1), (single + DEPTH, -1)):
+        step[:] += by * np.bincount(at, minlength=len(step)).astype(np.int32)
+    return np.cumsum(step[:-1]) > 0
 
 
 def reduce_first(pdf: pd.DataFrame) -> pd.DataFrame:
     """Whether each code is in several blocks, or in several documents of one: a bit for each, in the order sent."""
     parts = [np.frombuffer(p, dtype="<u4") for p in pdf["payload"]]
     flat = np.concatenate(parts)
-    code, inverse, count = np.unique(flat >> 1, return_inverse=True, return_counts=True)
-    live = count > 1
-    live[inverse[(flat & 1) > 0]] = True
-    bits = np.split(live[inverse], np.cumsum([len(p) for p in parts])[:-1])
+    order = np.argsort(flat)
+    code = flat[order] >> 1
+    new = np.concatenate([[True], code[1:] != code[:-1]])
+    group = np.cumsum(new) - 1
+    found = np.bincount(group) > 1
+    found[group[(flat[order] & 1) > 0]] = True
+    live = np.empty(len(flat), bool)
+    live[order] = found[group]
+    bits = np.split(live, np.cumsum([len(p) for p in parts])[:-1])
     return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "answer": [np.packbits(b).tobytes() for b in bits]})
 
 
 def reduce_least(width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The least id of each key of `width` numbers over all blocks; with the anchor (width 3), NO_ID - 1 added as a second
-    number where the anchor has one span only."""
+    """Whether another block has a key of `width` numbers with a smaller id; for (anchor, span), width 3, then also
+    whether the anchor has several spans. What a block sent to itself (below 0) is handed back."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["bucket"].iloc[0] < 0:
+            return pdf.rename(columns={"payload": "answer"})[["block", "bucket", "answer"]]
         keys, ids, sizes = [], [], []
         for p in pdf["payload"]:
             n = len(p) // (8 * (width + 1))
             keys.append(np.frombuffer(p, dtype="<u8", count=n * width).reshape(n, width))
             ids.append(np.frombuffer(p, dtype="<i8", offset=8 * n * width))
             sizes.append(n)
-        keys, ids = np.concatenate(keys), np.concatenate(ids)
-        order = np.lexsort((ids, *keys.T[::-1]))
-        k = keys[order]
-        new = np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])
-        least = np.empty(len(k), np.int64)
-        least[order] = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        answers = [least]
+        sent = np.concatenate(ids)
+        distinct, least, place = grouped(np.concatenate(keys), sent, width - 1)
+        answers = [least[place] < sent]
         if width == 3:
-            anchor = np.concatenate([[True], k[1:, 0] != k[:-1, 0]])
-            group = np.cumsum(anchor) - 1
-            several = np.empty(len(k), np.int64)
-            several[order] = (np.bincount(group, weights=new) > 1)[group]
-            answers.append(several)
+            group = np.cumsum(np.concatenate([[True], distinct[1:, 0] != distinct[:-1, 0]])) - 1
+            answers.append((np.bincount(group) > 1)[group][place])
         cuts = np.cumsum(sizes)[:-1]
         pieces = zip(*[np.split(a, cuts) for a in answers], strict=True)
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "answer": [b"".join(x.tobytes() for x in p) for p in pieces]})
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "answer": [len(p[0]).to_bytes(4, "little") + b"".join(np.packbits(x).tobytes() for x in p) for p in pieces]})
 
     return run
 
 
-def received(answers: list, width: int) -> list[np.ndarray]:
-    """The answers to all that a block sent, in the order sent."""
-    parts = [np.frombuffer(a, dtype="<i8").reshape(width, -1) for a in answers]
-    return list(np.concatenate(parts, axis=1)) if parts else [np.zeros(0, np.int64)] * width
-
-
-class State:
-    """What a block knows after the passes whose answers it has."""
-
-    def __init__(self, block: Block, first: list | None, second: list | None = None, third: list | None = None):
-        self.block = block
-        codes, several = block.first_digits()
-        self.codes, self.several = codes, several
-        if first is None:
-            return
-        live, at = np.zeros(len(codes), bool), 0
-        cuts = np.flatnonzero(np.diff(codes >> 31)) + 1
-        for part, answer in zip(np.split(np.arange(len(codes)), cuts) if len(codes) else [], first, strict=True):
-            live[part] = np.unpackbits(np.frombuffer(answer, np.uint8), count=len(part)).astype(bool)
-        self.steps = list(block.second_digits(codes[live]))
-        ids = np.concatenate([block.ids[at + r.doc[hit]] for at, r, hit, _ in self.steps] or [np.zeros(0, np.int64)])
-        rows = np.concatenate([s for *_, s in self.steps] or [np.zeros((0, 3), U)])
-        self.spans, self.span_ids, self.span_bucket = distinct_with_least(rows, ids, block.buckets)
-        if second is None:
-            return
-        least, several = received(second, 2)
-        where = find_rows(self.spans, rows, block.buckets)
-        self.repeat = least[where] < ids
-        self.open = ~self.repeat & (several[where] > 0)
-        windows, at_row = [], 0
-        for at, r, hit, _ in self.steps:
-            run, start, h = r.windows(hit[self.open[at_row : at_row + len(hit)]])
-            windows.append((block.ids[at + r.doc[run]], start, h))
-            at_row += len(hit)
-        self.window_parts = windows
-        ids = np.concatenate([w[0] for w in windows] or [np.zeros(0, np.int64)])
-        rows = np.concatenate([w[2] for w in windows] or [np.zeros((0, 2), U)])
-        self.windows, self.window_ids, self.window_bucket = distinct_with_least(rows, ids, block.buckets)
-        if third is None:
-            return
-        (least,) = received(third, 1)
-        self.window_repeat = least[find_rows(self.windows, rows, block.buckets)] < ids
-
-    def removed(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(document, whether each of its bytes goes)"""
-        run_at = window_at = 0
-        for (at, r, hit, _), (_, start, _) in zip(self.steps, self.window_parts, strict=True):
-            n = len(r.data)
-            step = np.zeros(n + 1, np.int32)
-            gone = hit[self.repeat[run_at : run_at + len(hit)]]
-            np.add.at(step, r.lo[gone], 1)
-            np.add.at(step, r.hi[gone] + DEPTH, -1)
-            single = start[self.window_repeat[window_at : window_at + len(start)]]
-            np.add.at(step, single, 1)
-            np.add.at(step, single + DEPTH, -1)
-            run_at, window_at = run_at + len(hit), window_at + len(start)
-            cover = np.cumsum(step[:-1]) > 0
-            ends = [*r.starts[1:].tolist(), n]
-            for i, (a, b) in enumerate(zip(r.starts.tolist(), ends, strict=True)):
-                yield at + i, cover[a:b]
+def received(answers: list[bytes], width: int) -> list[np.ndarray]:
+    """The answers (a count, then `width` rows of bits) to all that a block sent, in the order sent."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, bool)] for _ in range(width)]
+    for a in answers:
+        n = int.from_bytes(a[:4], "little")
+        size = (n + 7) // 8
+        for k in range(width):
+            out[k].append(np.unpackbits(np.frombuffer(a, np.uint8, count=size, offset=4 + k * size), count=n).astype(bool))
+    return [np.concatenate(x) for x in out]
 
 
 def store_blocks(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, int, int]:
@@ -317,7 +332,7 @@ def store_blocks(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, in
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, 1, BLOCK_BYTES):
             texts = as_bytes(batch.column(1))
-            body = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
+            body = zstandard.ZstdCompressor(level=5).compress(b"".join(texts))
             yield pa.RecordBatch.from_pydict({
                 "ids": pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([[len(t) for t in texts]], pa.list_(pa.int64())), "body": pa.array([body], pa.binary()),
             })
@@ -345,38 +360,40 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def load(b: pa.RecordBatch, i: int) -> Block:
         return Block(b.column("ids")[i].as_py(), b.column("sizes")[i].as_py(), b.column("body")[i].as_py(), buckets)
 
-    def passing(what: Callable[[State], Iterator[tuple[int, bytes]]], n_answers: int) -> Callable:
+    def given(b: pa.RecordBatch, i: int, name: str) -> list[bytes]:
+        return b.column(name)[i].as_py() or []
+
+    def exchange(frame: DataFrame, name: str, what: Callable, reducer: Callable) -> DataFrame:
+        """What each block sends, reduced by radix bucket: (block, name: the answers in bucket order)."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
-                    given = [b.column(f"a{k}")[i].as_py() or [] for k in range(n_answers)]
-                    found = list(what(State(load(b, i), *(given or [None]))))
-                    yield pa.record_batch({"block": pa.array([b.column("block")[i].as_py()] * len(found), pa.int64()), "bucket": pa.array([x for x, _ in found], pa.int64()), "payload": pa.array([x for _, x in found], pa.binary())})
-
-        return run
+                    number = b.column("block")[i].as_py()
+                    found = list(what(b, i, number))
+                    yield pa.record_batch({"block": pa.array([number] * len(found), pa.int64()), "bucket": pa.array([x for x, _ in found], pa.int64()), "payload": pa.array([x for _, x in found], pa.binary())})
 
-    def exchange(frame: DataFrame, what: Callable, n_answers: int, reducer: Callable) -> DataFrame:
-        """Send, reduce by radix bucket, and give each block its answers in bucket order, as column a{n}."""
-        sent = frame.mapInArrow(passing(what, n_answers), "block long, bucket long, payload binary")
-        answers = materialize(sent.groupBy("bucket").applyInPandas(reducer, "block long, bucket long, answer binary"), f"radix-{n_answers}")
+        sent = frame.mapInArrow(run, "block long, bucket long, payload binary")
+        answers = materialize(sent.groupBy("bucket").applyInPandas(reducer, "block long, bucket long, answer binary"), f"radix-{name}")
         by_block = answers.repartition(stores, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "answer"))).alias("x"))
-        return frame.join(by_block.select("block", F.col("x.answer").alias(f"a{n_answers}")).hint("shuffle_hash"), "block", "left")
+        return by_block.select("block", F.col("x.answer").alias(name)).hint("shuffle_hash")
 
-    frame = exchange(blocks, lambda s: send(s.codes >> 31, ((s.codes & 0x7FFFFFFF) << 1 | s.several).astype("<u4")), 0, reduce_first)
-    frame = exchange(frame, lambda s: send(s.span_bucket, s.spans, s.span_ids), 1, reduce_least(3))
-    frame = exchange(frame, lambda s: send(s.window_bucket, s.windows, s.window_ids), 2, reduce_least(2))
+    first = exchange(blocks, "first", lambda b, i, number: first_pass(load(b, i)), reduce_first)
+    second = exchange(blocks.join(first, "block", "left"), "second", lambda b, i, number: second_pass(load(b, i), given(b, i, "first"), number), reduce_least(3))
+    known = blocks.join(second, "block", "left")
+    third = exchange(known, "third", lambda b, i, number: third_pass(load(b, i), given(b, i, "second")), reduce_least(2))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 block = load(b, i)
-                state = State(block, *[b.column(f"a{k}")[i].as_py() or [] for k in range(3)])
+                gone_all = removed_bytes(block, given(b, i, "second"), given(b, i, "third"))
                 out: list[list] = [[] for _ in range(6)]
-                for d, gone in state.removed():
-                    kept = np.frombuffer(block.texts[d], np.uint8)[~gone].tobytes()
+                for d, (at, text_bytes) in enumerate(zip(block.starts.tolist(), block.texts, strict=True)):
+                    gone = gone_all[at : at + len(text_bytes)]
+                    kept = np.frombuffer(text_bytes, np.uint8)[~gone].tobytes()
                     n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                     for column, v in zip(out, (block.raw_ids[d], len(gone), int(gone.sum()), n_spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.string()), *([pa.array(out[5], pa.binary())] if keep_bytes else [])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])])
 
-    return frame.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+    return known.join(third, "block", "left").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
