@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_bytes, schema_with, text_chunks
+from .common import CHUNK_BYTES, as_bytes, schema_with, text_chunks
 
 #: Distinct words that a worker remembers: twice this many, in two generations; the older one is dropped.
 CACHE_WORDS = 250_000
@@ -67,6 +67,7 @@ class Codec:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(FASTER.get(pattern, pattern))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.cache_words = CACHE_WORDS
         self.young: dict[str, tuple[bytes, bytes]] = {}  # word: its ids, and what these decode to
         self.old: dict[str, tuple[bytes, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
@@ -127,7 +128,7 @@ class Codec:
         """Ids of each text as little-endian uint32 bytes, and the bytes that these ids decode to, pre-token by pre-token.
         A pre-token that is itself a token is taken whole."""
         split = [self.pattern.findall(t) for t in texts]
-        if len(self.young) > CACHE_WORDS:
+        if len(self.young) > self.cache_words:
             self.young, self.old = {}, self.young
         new = set(itertools.chain.from_iterable(split)) - self.young.keys()
         if self.old:
@@ -172,12 +173,12 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = True, cache_words: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """All columns of `docs` with token_ids (binary: little-endian uint32; only if `ids`), n_tokens (long), ids_sha256 and
     decoded_sha256 (lowercase hex; the latter of the bytes decoded from the ids) added or replaced.
 
     Null and empty text have no ids. Texts of any length are encoded whole. No rows: no rows. The rank file must exist
-    under the same path on every executor.
+    under the same path on every executor. cache_words and chunk_bytes trade a worker's memory for time, not results.
     """
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     schema = schema_with(docs, *([("token_ids", T.BinaryType())] if ids else []), *fields)
@@ -186,7 +187,8 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for batch in text_chunks(batches, at):
+        c.cache_words = CACHE_WORDS if cache_words is None else cache_words
+        for batch in text_chunks(batches, at, chunk_bytes):
             found, back = c.encode([b.decode() for b in as_bytes(batch.column(at))])
             columns = [batch.column(batch.schema.get_field_index(x)) for x in carried]
             columns += [pa.array(found, pa.binary())] if ids else []
