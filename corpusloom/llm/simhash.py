@@ -146,10 +146,17 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radi
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """The rows whose id is the smallest of their component, with all their columns; one of several rows that share it.
     Rows with a null id in a component that has other ids go; of a component without ids, one row stays."""
-    found = components(docs, text, doc_id, radius)
-    # one row stays for each component: its id decides, then (for repeated ids) the fingerprint and the text
-    keep = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "fingerprint").agg(F.lit(1).alias("x")).groupBy("component_id").agg(F.min("fingerprint").alias("fingerprint")), "kept-ids")
+    found = components(docs, text, doc_id, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("fingerprint").alias("fingerprint")), "kept-ids")
+    names = [F.col(f"`{c}`") for c in docs.columns]
     i, f = "__kept_id", "__kept_fp"
-    rows = docs.withColumn(i, F.col(f"`{doc_id}`")).withColumn(f, hex16(text_fingerprint(F.col(f"`{text}`"))))
-    kept = rows.join(keep.select(F.col("component_id").alias("__k"), F.col("fingerprint").alias("__f")), F.col(i).eqNullSafe(F.col("__k")) & (F.col(f) == F.col("__f")), "left_semi")
-    return kept.dropDuplicates([i, f]).select([F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn(i, F.col(f"`{doc_id}`"))
+    once = keep.where("n = 1 and doc_id is not null").select(F.col("doc_id").alias(i))
+    kept = rows.join(once, i, "left_semi").select(names)
+    again = keep.where("n > 1 or doc_id is null")
+    if not again.limit(1).count():
+        return kept
+    # ids that several rows share, or none: of these the row with the least fingerprint stays, and one of those alike
+    again = sized(again.select(F.col("doc_id").alias("__k"), F.col("fingerprint").alias("__f")), "shared-ids")
+    rows = rows.join(again, F.col(i).eqNullSafe(F.col("__k"))).withColumn(f, hex16(text_fingerprint(F.col(f"`{text}`"))))
+    return kept.unionByName(rows.where(F.col(f) == F.col("__f")).dropDuplicates([i, f]).select(names))
