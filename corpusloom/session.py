@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch between JVM and Python. By rows alone a batch of long texts would hold a whole split, on both sides.
+BATCH_BYTES, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def session(app: str = "corpusloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,7 +30,10 @@ def session(app: str = "corpusloom", master: str | None = None, **conf: str) ->
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once for each application, so that their Python workers can import it."""
+    """Send this package to the executors, once for each application, so that their Python workers can import it; bound
+    Arrow batches by bytes where the session doesn't do so yet."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         root = Path(__file__).resolve().parent
