@@ -17,6 +17,8 @@ from pyspark.sql.window import Window as W
 BROADCAST_ROWS = 20_000
 #: Bytes of text that a Python worker turns into arrays at a time.
 CHUNK_BYTES = 4 << 20
+#: Rows of such a piece at most, for texts that are short or empty.
+CHUNK_ROWS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -81,18 +83,26 @@ def exclusive_prefix(df: DataFrame, key: str, value: str, out: str, block: int =
 
 
 def text_chunks(batches: Iterator[pa.RecordBatch], text: int, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slice record batches so that each piece has about max_bytes of text; whole rows, none dropped."""
+    """Cut or join record batches so that each piece has about max_bytes of text, and CHUNK_ROWS rows at most; whole rows,
+    in order, none dropped."""
+    held: list[pa.RecordBatch] = []
+    total = rows = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        start = total = 0
+        start = 0
         for i, n in enumerate(sizes):
-            if total and total + n > max_bytes:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
+            if total and total + n > max_bytes or rows == CHUNK_ROWS:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                yield held[0] if len(held) == 1 else pa.concat_batches(held)
+                held, start, total, rows = [], i, 0, 0
             total += int(n)
-        yield batch.slice(start)
+            rows += 1
+        held.append(batch.slice(start))
+    if held:
+        yield held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
