@@ -173,16 +173,18 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = True, cache_words: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = True, cache_words: int | None = None, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = True) -> DataFrame:
     """All columns of `docs` with token_ids (binary: little-endian uint32; only if `ids`), n_tokens (long), ids_sha256 and
     decoded_sha256 (lowercase hex; the latter of the bytes decoded from the ids) added or replaced.
 
     Null and empty text have no ids. Texts of any length are encoded whole. No rows: no rows. The rank file must exist
     under the same path on every executor. cache_words and chunk_bytes trade a worker's memory for time, not results.
+    Without keep_text the texts are not sent back.
     """
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    schema = schema_with(docs, *([("token_ids", T.BinaryType())] if ids else []), *fields)
-    carried = [c for c in docs.columns if c.lower() not in {"token_ids", "n_tokens", "ids_sha256", "decoded_sha256"}]
+    added = [*([("token_ids", T.BinaryType())] if ids else []), *fields]
+    schema = T.StructType([f for f in schema_with(docs, *added).fields if keep_text or f.name != text])
+    carried = schema.names[: len(schema.names) - len(added)]
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.bpe_round_trip(docs, RANKS, PATTERN, ids=False).drop("text")
+    return bpe.bpe_round_trip(docs, RANKS, PATTERN, ids=False, keep_text=False)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
