@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -142,6 +142,31 @@ def connected_components(edges: DataFrame, label: str, max_rounds: int = 40) ->
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def keep_least(docs: DataFrame, rows: DataFrame, nodes: DataFrame, key_of: Callable[[Column], Column], text: str, doc_id: str) -> DataFrame:
+    """The row of `docs` for the least (doc_id, key), null ids last, of each root in `nodes` (root, doc_id, key), with all
+    columns; one of several rows that share both. `rows` has (doc_id, key) of every row, key_of(text) makes a key again.
+
+    Ids that one row has are kept by a semi-join; keys are made again only for rows without an id or with a shared one."""
+    least = nodes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
+    least = materialize(least.select(F.col("x.doc_id").alias("__k"), F.col("x.key").alias("__f")), "kept")
+    shared = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    shared = sized(shared, "shared-ids")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    i, f = fresh(docs, "__kept_id"), fresh(docs, "__kept_key")
+    docs = docs.withColumn(i, F.col(f"`{doc_id}`"))
+    once = least.where("__k is not null").join(shared, F.col("__k") == F.col("doc_id"), "left_anti").select(F.col("__k").alias(i))
+    kept = docs.join(once, i, "left_semi").select(names)
+    again = least.where("__k is null").unionByName(least.join(shared, F.col("__k") == F.col("doc_id"), "left_semi"))
+    again = materialize(again, "kept-by-key")
+    if not again.limit(1).count():
+        return kept
+    again = sized(again, "kept-by-key")
+    unsure = docs.where(F.col(i).isNull()).unionByName(docs.join(shared.withColumnRenamed("doc_id", i), i, "left_semi").select(docs.columns))
+    unsure = unsure.withColumn(f, key_of(F.col(f"`{text}`")))
+    unsure = unsure.join(again, F.col(i).eqNullSafe(F.col("__k")) & (F.col(f) == F.col("__f")), "left_semi")
+    return kept.unionByName(unsure.dropDuplicates([i, f]).select(names))
+
+
 def schema_with(df: DataFrame, *fields: tuple[str, T.DataType]) -> T.StructType:
     """The frame's schema without the named fields, then these."""
     new = {name.lower() for name, _ in fields}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, connected_components, materialize, sized, text_chunks
+from .common import as_bytes, connected_components, keep_least, materialize, sized, text_chunks
 
 RADIUS = 4
 #: A bucket with more fingerprints than this is split by a second family of masks over the bits that are still free.
@@ -126,6 +126,14 @@ def covering_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -
     return bucket_links(cool, ["t", "key"], radius).unionByName(bucket_links(split, ["t", "key", "u", "key2"], radius)).distinct()
 
 
+def labelled(docs: DataFrame, text: str, doc_id: str, radius: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: (doc_id, fp) of each row, (fp, first: its least id), and (node, root) of the fingerprints with links."""
+    rows = materialize(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_fingerprint(F.col(f"`{text}`")).alias("fp")), "fingerprints")
+    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    labels = materialize(connected_components(materialize(covering_links(first.select("fp"), radius, bucket), "links"), "components"), "labels")
+    return rows, first, labels
+
+
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that is reachable by
     links of `radius` differing bits or fewer.
@@ -133,9 +141,7 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radi
     Null and empty texts have the fingerprint zero and are linked like others. A null id is skipped when the smallest is
     taken; a component of null ids has a null component_id. Repeated rows stay. Other columns are ignored.
     """
-    rows = materialize(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_fingerprint(F.col(f"`{text}`")).alias("fp")), "fingerprints")
-    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    labels = materialize(connected_components(materialize(covering_links(first.select("fp"), radius, bucket), "links"), "components"), "labels")
+    rows, first, labels = labelled(docs, text, doc_id, radius, bucket)
     linked = first.join(labels, F.col("fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = first.join(labels.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left")
@@ -144,19 +150,8 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radi
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """The rows whose id is the smallest of their component, with all their columns; one of several rows that share it.
-    Rows with a null id in a component that has other ids go; of a component without ids, one row stays."""
-    found = components(docs, text, doc_id, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = materialize(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("fingerprint").alias("fingerprint")), "kept-ids")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    i, f = "__kept_id", "__kept_fp"
-    rows = docs.withColumn(i, F.col(f"`{doc_id}`"))
-    once = keep.where("n = 1 and doc_id is not null").select(F.col("doc_id").alias(i))
-    kept = rows.join(once, i, "left_semi").select(names)
-    again = keep.where("n > 1 or doc_id is null")
-    if not again.limit(1).count():
-        return kept
-    # ids that several rows share, or none: of these the row with the least fingerprint stays, and one of those alike
-    again = sized(again.select(F.col("doc_id").alias("__k"), F.col("fingerprint").alias("__f")), "shared-ids")
-    rows = rows.join(again, F.col(i).eqNullSafe(F.col("__k"))).withColumn(f, hex16(text_fingerprint(F.col(f"`{text}`"))))
-    return kept.unionByName(rows.where(F.col(f) == F.col("__f")).dropDuplicates([i, f]).select(names))
+    """One row of each component, with all its columns: one with the smallest id, of these with the least fingerprint.
+    Rows with a null id in a component that has other ids go; of each component without ids, one row stays."""
+    rows, first, labels = labelled(docs, text, doc_id, radius, BUCKET)
+    nodes = first.join(labels, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("root"), F.col("first").alias("doc_id"), F.col("fp").alias("key"))
+    return keep_least(docs, rows.withColumnRenamed("fp", "key"), nodes, text_fingerprint, text, doc_id)

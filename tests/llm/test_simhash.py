@@ -88,3 +88,11 @@ def test_query_and_empty(spark, sf, no_docs):
     texts = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op9_simhash(spark, sf).collect()), key=repr) == expected(texts)
     assert simhash.components(no_docs).count() == 0 and simhash.drop_near_copies(no_docs).count() == 0
+
+
+def test_components_that_share_an_id_or_have_none(spark):
+    x, y, z = (" ".join(f"{c}{i % 50}" for i in range(200)) for c in "xyz")
+    keep = lambda rows: sorted(map(tuple, simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert keep([(None, x), (None, y), (None, y), (7, z), (None, z)]) == sorted([(None, x), (None, y), (7, z)], key=repr)
+    assert keep([(5, x), (5, y)]) == sorted([(5, x), (5, y)], key=repr)
+    assert keep([(3, x), (5, x.upper()), (5, y)]) == sorted([(3, x), (5, y)], key=repr)
