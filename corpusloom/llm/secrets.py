@@ -78,12 +78,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans + [(m.start(), 2, m.end()) for m in HEX_LONG.finditer(text)]
 
 
+def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[str, int]]:
+    """Candidate strings and their places; of one that base spans overlap, the parts of WINDOW characters or more between
+    them. A candidate that a rule allows whole has none."""
+    taken = sorted((a, b) for a, _, b in taken)
+    first = 0
+    for m in CANDIDATE.finditer(text):
+        while first < len(taken) and taken[first][1] <= m.start():
+            first += 1
+        if any(a.fullmatch(m[0]) for a in ALLOW):
+            continue
+        at = m.start()
+        for a, b in taken[first:]:
+            if a >= m.end():
+                break
+            if a - at >= WINDOW:
+                yield text[at:a], at
+            at = max(at, b)
+        if m.end() - at >= WINDOW:
+            yield text[at : m.end()], at
+
+
 def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, 3, end) of high-entropy ranges in candidate strings that no base span overlaps and no rule allows."""
+    """(start, 3, end) of high-entropy ranges in candidate strings, without the base spans in them, that no rule allows."""
     spans = []
-    for m in CANDIDATE.finditer(text):
-        s, at = m[0], m.start()
-        if any(a.fullmatch(s) for a in ALLOW) or any(a < m.end() and at < b for a, _, b in taken):
+    for s, at in candidates(text, taken):
+        if any(a.fullmatch(s) for a in ALLOW):
             continue
         runs = sorted(r for _, members, least in CLASSES for r in entropy_runs(s, members, least) if not any(a.fullmatch(s[r[0] : r[1]]) for a in ALLOW))
         merged: list[list[int]] = []
