@@ -1,27 +1,29 @@
 """Byte-level BPE by DuckDB recursive queries, one in-process database per Python worker.
 
 Encoding: a chunk's distinct pre-tokens become rows (word, position, id). A recursive query joins neighbouring ids with
-the merge table, and contracts each word's leftmost pair of the least rank until no pair merges. Decoding: an ordered
-aggregation of the tokens' bytes. A round trip decodes the ids of each distinct pre-token once.
-Texts are never shuffled; memory is bounded by the chunk and by the word cache.
+the merge table, and contracts each stretch's pairs of the least rank, from the left, until no pair merges. A word is one
+stretch unless it is long: no merge can reach further than the longest token that holds one of its bytes, so stretches of
+twice that length go on side by side, each waiting only for the two beside it, and the work grows with the word's length,
+not with its square. Decoding: an ordered aggregation of the bytes of each document's ids.
+Texts are never shuffled; memory is bounded by the chunk, the longest pre-token and the word cache.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import itertools
 from collections.abc import Iterator
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, as_bytes, schema_with, text_chunks
+from .common import CHUNK_BYTES, as_bytes, place, schema_with, text_chunks
 
 #: Distinct words that a worker remembers: twice this many, in two generations; the older one is dropped.
 CACHE_WORDS = 250_000
@@ -30,29 +32,53 @@ CACHE_WORDS = 250_000
 FASTER = {
     r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""": r""" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+""",
 }
-#: Words in one recursive query.
-QUERY_WORDS = 32_768
-#: Longer words (bytes) are merged by a heap in the same order: the recursion would take one pass over them per merge.
-LONG_WORD = 256
-
-MERGE_SQL = """
-with recursive t(step, w, p, id, next_id) as (
-    select 0::int, w, p, id, lead(id) over (partition by w order by p) from start
+#: Words, and bytes of them, in one recursive query (at least one word), and rows that its steps may add up to: a query
+#: that would give more stops, and what is not finished starts the next one.
+QUERY_WORDS, QUERY_BYTES, QUERY_ROWS = 32_768, 1 << 19, 6_000_000
+
+#: What the database may hold; a single pre-token needs about 0.5 kB for each of its bytes.
+MEMORY = "2GB"
+
+#: t: tokens that start at g in stretch tile, followed by nid at q. tie: a stretch's pairs of its least rank r. alone:
+#: stretches with one tie and no neighbour. turn: a tie whose merge makes a pair of lower rank, which goes first then.
+#: run: ties one after another, of which every second one merges. Ties merge where no neighbour has a lower rank, and
+#: none to the left can still change them.
+MERGE_SQL = """with recursive t(step, w, g, tile, id, q, nid) as (
+    select 0::int, w, g, tile, id, q, nid from start
     union all
-    (with hit as (
-        select w, min((m.id::bigint << 32) | p) as best
-        from t join merges m on m.pair = ((t.id::bigint << 20) | t.next_id)
-        group by w
-    ), spot as (
-        select hit.w, (best >> 32)::int as merged, (best & 4294967295)::int as place, t.next_id as after_id
-        from hit join t on t.w = hit.w and t.p = (best & 4294967295)::int + 1
+    (with pair as (
+        select w, g, q, tile, m.id as r from t join merges m on m.pair = ((t.id::bigint << 20) | t.nid) where step < $steps
+    ), least as (
+        select tile, min(r) as r from pair group by tile
+    ), tie as (
+        select c.w, c.g, c.q, c.tile, c.r from pair c join least l on l.tile = c.tile and l.r = c.r
+    ), alone as (
+        select tile from tie group by tile having count(*) = 1 except all select tile from (select tile + 1 as tile from least union all select tile - 1 from least)
+    ), crowd as (
+        select tie.*, b.nid as y, u.pair is not null or v.pair is not null or z.pair is not null as turn
+        from tie anti join alone on alone.tile = tie.tile join t b on b.g = tie.q left join t a on a.q = tie.g
+            left join turns u on u.pair = ((tie.r::bigint << 20) | b.nid) left join turns v on v.pair = ((a.id::bigint << 20) | tie.r) left join turns z on z.pair = ((tie.r::bigint << 20) | tie.r)
+    ), area as (
+        select tile, r, bool_or(turn) as turn from crowd group by tile, r
+    ), ready as (
+        select o.tile, coalesce(l.r > o.r or l.r = o.r and not l.turn, true) and coalesce(n.r >= o.r, true) as ok, coalesce(l.r > o.r, true) as first_of
+        from area o left join area l on l.tile = o.tile - 1 left join area n on n.tile = o.tile + 1
+    ), run as (
+        select crowd.*, ok, first_of, sum(case when turn then 1 else 0 end) over (partition by tile order by g rows between unbounded preceding and 1 preceding) as turns_before,
+            sum(case when g = before and r = rank_before then 0 else 1 end) over (order by g) as run
+        from (select *, lag(q) over (order by g) as before, lag(r) over (order by g) as rank_before from crowd) crowd join ready using (tile)
+    ), chosen as (
+        select w, g, q, r from tie semi join alone on alone.tile = tie.tile
+        union all
+        select w, g, q, r from (select *, row_number() over (partition by run order by g) as place, first_value(ok) over (partition by run order by g) as begun from run)
+        where ok and begun and (first_of or not turn) and place % 2 = 1 and coalesce(turns_before, 0) = 0
+    ), taken as (
+        select c.g, c.q, c.r, b.q as q2, b.nid as y from chosen c join t b on b.g = c.q
     )
-    select step + 1, t.w, case when p > place then p - 1 else p end,
-        case when p = place then merged else id end,
-        case when p = place then after_id when p = place - 1 then merged else next_id end
-    from t join spot using (w) where p <> place + 1)
-), ended as (select w, max(step) as step from t group by w)
-select w, list(id order by p) as ids from t join ended using (w, step) group by w order by w
+    select step + 1, t.w, t.g, t.tile, coalesce(c.r, t.id), case when c.g is null then t.q else c.q2 end, coalesce(n.r, case when c.g is null then t.nid else c.y end)
+    from t semi join (select distinct w from chosen) s on s.w = t.w anti join taken d on d.q = t.g left join taken c on c.g = t.g left join taken n on n.g = case when c.g is null then t.q else c.q2 end)
+)
+select t.w, t.g, t.tile, t.id, t.q, t.nid, step from t join (select w, max(step) as last from t group by w) e on e.w = t.w and e.last = t.step
 """
 
 DECODE_SQL = "select doc, string_agg(s, '' order by pos) as s from ids join vocab using (id) group by doc"
@@ -68,12 +94,18 @@ class Codec:
         self.pattern = regex.compile(FASTER.get(pattern, pattern))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         self.cache_words = CACHE_WORDS
-        self.young: dict[str, tuple[bytes, bytes]] = {}  # word: its ids, and what these decode to
-        self.old: dict[str, tuple[bytes, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        merges = [(self.ranks[t[:k]] << 20 | self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        pairs = np.array(merges, dtype=np.int64).reshape(-1, 2)
-        self._load("merges", pa.table({"pair": pairs[:, 0], "id": pairs[:, 1].astype(np.int32)}))
+        self.young: dict[str, bytes] = {}  # word: its ids
+        self.old: dict[str, bytes] = {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})  # never spills to a local disk
+        parts = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
+        left, right, whole = np.array(parts, dtype=np.int64).reshape(-1, 3).T
+        pairs = left << 20 | right
+        self._load("merges", pa.table({"pair": pairs, "id": whole.astype(np.int32)}))
+        self._load("turns", pa.table({"pair": pairs[whole < np.maximum(left, right)]}))
+        self.reach = np.ones(256, dtype=np.int64)  # the longest token with each byte
+        for t in self.ranks:
+            at = list(set(t))
+            self.reach[at] = np.maximum(self.reach[at], len(t))
         # a byte is written as the character 256 + byte, so that any bytes make a string
         self._load("vocab", pa.table({"id": pa.array(self.tokens, pa.int32()), "s": ["".join(chr(256 + b) for b in t) for t in self.tokens.values()]}))
 
@@ -84,49 +116,42 @@ class Codec:
 
     def merge_words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word, as little-endian uint32 bytes, by the recursive query."""
-        out: list[bytes] = [b""] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
-        for i, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[i] = self.merge_long(w)
-        for at in range(0, len(short), QUERY_WORDS):
-            part = short[at : at + QUERY_WORDS]
-            lengths = np.array([len(words[i]) for i in part], dtype=np.int64)
-            data = np.frombuffer(b"".join([words[i] for i in part]), dtype=np.uint8)
-            place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            self.db.register("start", pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), lengths), "p": place.astype(np.int32), "id": self.byte_ids[data]}))
-            found = self.db.sql(MERGE_SQL).to_arrow_table()
-            self.db.unregister("start")
-            ids = found.column("ids").combine_chunks()
-            flat, ends = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy() * 4
-            for w, a, b in zip(found.column("w").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                out[part[w]] = flat[a:b]
+        out: list[bytes] = []
+        ends = np.cumsum([len(w) for w in words])
+        while (at := len(out)) < len(words):
+            limit = QUERY_BYTES + (ends[at - 1] if at else 0)
+            out += self._merge(words[at : min(at + QUERY_WORDS, max(at + 1, int(np.searchsorted(ends, limit, side="right"))))])
         return out
 
-    def merge_long(self, word: bytes) -> bytes:
-        """The same contraction with a heap of (rank, position): the leftmost pair of the least rank first."""
-        ends = list(range(1, len(word) + 1))
-        before, gone = list(range(-1, len(word) - 1)), bytearray(len(word))
-        rank = lambda a, b: self.ranks.get(word[a:b])
-        heap = [(r, i, i + 2) for i in range(len(word) - 1) if (r := rank(i, i + 2)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, at, end = heapq.heappop(heap)
-            middle = ends[at]
-            if gone[at] or middle >= len(word) or middle == end or ends[middle] != end:
-                continue
-            gone[middle], ends[at] = 1, end
-            if end < len(word):
-                before[end] = at
-                if (r := rank(at, ends[end])) is not None:
-                    heapq.heappush(heap, (r, at, ends[end]))
-            if (left := before[at]) >= 0 and (r := rank(left, end)) is not None:
-                heapq.heappush(heap, (r, left, end))
-        return np.array([self.ranks[word[i : ends[i]]] for i in range(len(word)) if not gone[i]], dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
-        """Ids of each text as little-endian uint32 bytes, and the bytes that these ids decode to, pre-token by pre-token.
-        A pre-token that is itself a token is taken whole."""
+    def _merge(self, words: list[bytes]) -> list[bytes]:
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        first = np.cumsum(lengths) - lengths
+        w, g = np.repeat(np.arange(len(words), dtype=np.int32), lengths), np.arange(len(data), dtype=np.int32)
+        size = 2 * np.maximum.reduceat(self.reach[data], first)
+        tiles = -(-lengths // size) + 1  # one number is left out, so that words aren't neighbours
+        ids, last = self.byte_ids[data], np.zeros(len(data), dtype=bool)
+        last[first + lengths - 1] = True
+        now = pa.table({
+            "w": w, "g": g, "tile": ((np.cumsum(tiles) - tiles)[w] + (g - first[w]) // size[w]).astype(np.int32), "id": ids,
+            "q": pa.array(g + 1, pa.int32(), mask=last), "nid": pa.array(np.append(ids[1:], 0), pa.int32(), mask=last),
+        })
+        done: list[pa.Table] = []
+        while now.num_rows:
+            steps = max(1, min(24, QUERY_ROWS // now.num_rows))
+            self.db.register("start", now)
+            found = self.db.sql(MERGE_SQL, params={"steps": steps}).to_arrow_table()
+            self.db.unregister("start")
+            more = pc.equal(found.column("step"), steps)
+            done.append(found.filter(pc.invert(more)).select(["w", "g", "id"]))
+            now = found.filter(more).drop_columns(["step"])
+        w, g, ids = (np.concatenate([d.column(c).to_numpy() for d in done]) for c in ("w", "g", "id"))
+        order = np.argsort(g)
+        flat, ends = ids[order].astype("<u4").tobytes(), (4 * np.searchsorted(w[order], np.arange(len(words) + 1))).tolist()
+        return [flat[a:b] for a, b in itertools.pairwise(ends)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian uint32 bytes. A pre-token that is itself a token is taken whole."""
         split = [self.pattern.findall(t) for t in texts]
         if len(self.young) > self.cache_words:
             self.young, self.old = {}, self.young
@@ -138,15 +163,10 @@ class Codec:
         whole, rest = [], []
         for w in sorted(new):
             (whole if w.encode() in self.ranks else rest).append(w)
-        ids = [self.ranks[w.encode()].to_bytes(4, "little") for w in whole] + self.merge_words([w.encode() for w in rest])
-        self.young.update(zip(whole + rest, zip(ids, self.decode(ids), strict=True), strict=True))
+        self.young.update((w, self.ranks[w.encode()].to_bytes(4, "little")) for w in whole)
+        self.young.update(zip(rest, self.merge_words([w.encode() for w in rest]), strict=True))
         get = self.young.__getitem__
-        found, back = [], []
-        for words in split:
-            pairs = list(map(get, words))
-            found.append(b"".join([p[0] for p in pairs]))
-            back.append(b"".join([p[1] for p in pairs]))
-        return found, back
+        return [b"".join(map(get, words)) for words in split]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each text's ids stand for, by ordered aggregation."""
@@ -183,15 +203,16 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "
     """
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     added = [*([("token_ids", T.BinaryType())] if ids else []), *fields]
-    schema = T.StructType([f for f in schema_with(docs, *added).fields if keep_text or f.name != text])
+    schema = T.StructType([f for f in schema_with(docs, *added).fields if keep_text or f.name != docs.columns[place(docs, text)]])
     carried = schema.names[: len(schema.names) - len(added)]
-    at = docs.columns.index(text)
+    at = place(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
         c.cache_words = CACHE_WORDS if cache_words is None else cache_words
         for batch in text_chunks(batches, at, chunk_bytes):
-            found, back = c.encode([b.decode() for b in as_bytes(batch.column(at))])
+            found = c.encode([b.decode() for b in as_bytes(batch.column(at))])
+            back = c.decode(found)
             columns = [batch.column(batch.schema.get_field_index(x)) for x in carried]
             columns += [pa.array(found, pa.binary())] if ids else []
             columns += [pa.array([len(x) // 4 for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found]), pa.array([hashlib.sha256(x).hexdigest() for x in back])]
@@ -204,7 +225,7 @@ def decode_column(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "to
     """All columns with decoded (binary) added or replaced: the bytes of the ids (binary, little-endian uint32; null: none)."""
     schema = schema_with(docs, ("decoded", T.BinaryType()))
     carried = [c for c in docs.columns if c.lower() != "decoded"]
-    at = docs.columns.index(ids)
+    at = place(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
@@ -213,5 +234,3 @@ def decode_column(docs: DataFrame, ranks_path: str, pattern: str, ids: str = "to
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(x)) for x in carried), pa.array(back, pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
-
-

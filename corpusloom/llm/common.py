@@ -59,10 +59,9 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def replace_columns(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns; an input column of the same name (in any case) is replaced."""
-    new = {c.lower() for c in columns}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new], *[v.alias(k) for k, v in columns.items()])
+def place(df: DataFrame, name: str) -> int:
+    """Where a column stands; names match in any case, as Spark's do."""
+    return [c.lower() for c in df.columns].index(name.lower())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
