@@ -2,6 +2,8 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
+import zstandard
 from pyspark.sql import functions as F
 
 from corpusloom.llm import suffix
@@ -30,12 +32,12 @@ def plain(rows):
 def test_hashes():
     data = np.frombuffer(random.Random(1).randbytes(400), np.uint8)
     for k in (1, 2, 3, 25, 50):
-        got = suffix.rolling(data, k, suffix.BASES[0])
+        got = suffix.rolling(data, k, suffix.BASE)
         want = []
         for i in range(len(data) - k + 1):
             h = 0
             for c in data[i : i + k].tolist():
-                h = (h * suffix.BASES[0] + c + 1) % 2**64
+                h = (h * suffix.BASE + c + 1) % 2**64
             want.append(h)
         assert got.tolist() == want
     a = np.array([5, 3, 8, 1, 9, 2], np.uint64)
@@ -83,6 +85,65 @@ def test_overlaps_and_edits(spark, monkeypatch):
     check(spark, rows, monkeypatch, BLOCK_BYTES=3000, STEP_BYTES=700, BUCKET_ROWS=16, STORE_BYTES=2000)
 
 
+def in_process(rows, n_blocks, buckets):
+    """All passes without Spark, so that constants and hashes can be replaced: workers import their own."""
+    blocks = []
+    for k in range(n_blocks):
+        part = rows[k::n_blocks]
+        blocks.append(suffix.Block([i for i, _ in part], [len(t) for _, t in part], zstandard.compress(b"".join(t for _, t in part)), buckets))
+
+    def exchange(sent, reducer):
+        by_bucket, answers = {}, [[] for _ in blocks]
+        for k, found in enumerate(sent):
+            for x, payload in found:
+                by_bucket.setdefault(x, []).append((k, x, payload))
+        for x in sorted(by_bucket):
+            out = reducer(pd.DataFrame(by_bucket[x], columns=["block", "bucket", "payload"]))
+            for k, answer in zip(out["block"], out["answer"]):
+                answers[k].append(answer)
+        return answers
+
+    first = exchange([list(suffix.first_pass(b)) for b in blocks], suffix.reduce_first)
+    second = exchange([list(suffix.Live(b, f).sent()) for b, f in zip(blocks, first)], suffix.reduce_bytes(buckets))
+    gone = []
+    for b, f, x in zip(blocks, first, second):
+        cut = np.split(suffix.removed_bytes(b, f, x), np.cumsum([len(t) for t in b.texts])[:-1])
+        gone += [(i, t, bytes(c for c, g in zip(t, mine) if not g)) for i, t, mine in zip(b.raw_ids, b.texts, cut)]
+    return sorted(((i, len(t), hashlib.sha256(kept).hexdigest()) for i, t, kept in gone), key=repr)
+
+
+def test_hot_anchors_and_crafted_hashes(monkeypatch):
+    rng = random.Random(12)
+    word = lambda: bytes(rng.choice(b"abcde ") for _ in range(rng.randint(2, 9)))
+    passage = [b" ".join(word() for _ in range(30)) for _ in range(3)]
+    rows = [(rng.randrange(70), b" ".join(rng.choice(passage) if rng.random() < 0.4 else word() for _ in range(12))) for _ in range(90)]
+    rows += [(99, b"z" * 400), (98, b"z" * 70), (97, b""), (None, passage[0] * 2)]
+    want = sorted(((i, n, d) for i, n, _, _, d in plain(rows)), key=repr)
+    assert in_process(rows, 1, 1) == in_process(rows, 4, 3) == want
+    monkeypatch.setattr(suffix, "HOT_BLOCK", 2)
+    monkeypatch.setattr(suffix, "HOT_ALL", 9)
+    assert in_process(rows, 4, 3) == want
+    mixed, row_hash = suffix.mixed, suffix.row_hash
+    for mask in (7 << 61 | 3, 0):  # hashes that tell little or nothing apart: bytes decide
+        monkeypatch.setattr(suffix, "mixed", lambda h: mixed(h) & np.uint64(mask))
+        monkeypatch.setattr(suffix, "row_hash", lambda r: row_hash(r) & np.uint64(mask))
+        assert in_process(rows, 4, 3) == want
+        monkeypatch.setattr(suffix, "HOT_ALL", 1 << 16)
+        monkeypatch.setattr(suffix, "HOT_BLOCK", 256)
+        assert in_process(rows, 4, 3) == want
+
+
+def test_radix_passes_equal_a_dictionary():
+    rng = np.random.default_rng(4)
+    rows = rng.integers(0, 2, (400, 16)).astype(np.uint8)
+    rows[:, :12] = rows[rng.integers(0, 5, 400), :12]
+    group, ids = rng.integers(0, 3, 400), rng.integers(0, 1000, 400)
+    least = {}
+    for r, g, i in zip(rows, group, ids):
+        least[r.tobytes(), g] = min(i, least.get((r.tobytes(), g), 10**6))
+    assert suffix.least_equal(rows, group, ids).tolist() == [least[r.tobytes(), g] for r, g in zip(rows, group)]
+
+
 def test_query_and_empty(spark, sf, no_docs):
     texts = [(r[0], r[1].encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op10_suffix(spark, sf).collect()), key=repr) == plain(texts)
