@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-#: The most rows of a side that is broadcast; a larger side is joined by shuffling.
-BROADCAST_ROWS = 20_000
+#: The most bytes (as JSON) of a side that is broadcast; a larger side is joined by shuffling.
+BROADCAST_BYTES = 32 << 20
 #: Bytes of text that a Python worker turns into arrays at a time.
 CHUNK_BYTES = 4 << 20
 #: Rows of such a piece at most, for texts that are short or empty.
@@ -22,33 +22,42 @@ CHUNK_ROWS = 1 << 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """This application's folder in the one that driver and executors share, spark.checkpoint.dir. A local session (tests)
+    may do without: it gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/corpusloom/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: cuts lineage, survives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def sweep(spark: SparkSession) -> None:
-    """Delete all scratch tables; call it once the results that were derived from them are written."""
+    """Delete this application's scratch tables; call it once the results that were derived from them are written."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpusloom")
+    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized(side: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written side, marked for broadcast only if it has been counted and has max_rows at most."""
+def fits(side: DataFrame, max_bytes: int | None = None) -> bool:
+    """Whether a written side is small enough to be broadcast, by the bytes of all its values."""
+    n = side.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return n <= (BROADCAST_BYTES if max_bytes is None else max_bytes)
+
+
+def sized(side: DataFrame, label: str, max_bytes: int | None = None) -> DataFrame:
+    """A written side, marked for broadcast only if its measured size allows."""
     side = materialize(side, label)
-    return F.broadcast(side) if side.limit(max_rows + 1).count() <= max_rows else side
+    return F.broadcast(side) if fits(side, max_bytes) else side
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -1,9 +1,13 @@
 """Quality rules: robust multivariate outliers of document statistics.
 
 Per language and source, the minimum-covariance-determinant estimate of transformed statistics gives centre and scatter;
-documents at a large Mahalanobis distance are rejected. The estimate covers all rows: concentration steps run over the
-whole table of statistics as aggregations per group, combined before they are shuffled. The statistics are rounded to a
-fixed grid, so all sums are exact integers, and the outcome doesn't depend on partitions or on the order of rows.
+documents at a large Mahalanobis distance are rejected. Concentration goes from three starts until the chosen rows are the
+same twice, and the least determinant counts. It covers all rows: each step is an aggregation per group over the whole
+table of statistics, combined before it is shuffled. The statistics are rounded to a fixed grid, so all sums are exact
+integers, and the outcome doesn't depend on partitions or on the order of rows.
+
+The statistics have even scatter in clean text of a language and source, so that no least width has to be set: the only
+ridge is the variance that rounding to the grid itself adds.
 """
 
 from __future__ import annotations
@@ -18,26 +22,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import as_bytes, materialize, sized, text_chunks
+from .common import as_bytes, fits, materialize, sized, text_chunks
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
-#: Transformed statistics are multiples of 1 / GRID.
-GRID = 256
+#: Transformed statistics are multiples of 1 / GRID; the rounding has variance RIDGE, in these units.
+GRID, RIDGE = 4096, 1 / 12
 #: Names of the transformed statistics.
-STATS = ("word_length", "symbols", "duplicate_lines", "repeats", "length")
+STATS = ("word_length", "entropy", "variety", "other_signs", "length")
 D = len(STATS)
-#: Share of a group's rows that the estimate rests on, concentration steps, and rows that a group needs for its own
-#: estimate; smaller groups use their language's, then that of all rows.
-SUPPORT, STEPS, MIN_ROWS = 0.75, 6, 50
-#: Least standard deviation of each statistic: a statistic that is the same nearly everywhere isn't infinitely telling.
-FLOOR = (0.12, 0.20, 0.60, 0.15, 0.40)
-#: Squared distance beyond which a row is rejected: chi-square with D degrees of freedom, chance about 1e-6.
-CUTOFF = 35.89
+#: Share of a group's rows that the estimate rests on, and concentration steps at most.
+SUPPORT, STEPS = 0.75, 30
+#: Rows that a group needs for an estimate of its own, ten for each statistic; a smaller one is judged by the estimate of
+#: its whole language, and where that is as small, by that of all rows. With fewer rows in all nothing is rejected.
+MIN_ROWS = 10 * D
+#: Rows of a group's random start: those with the least seeded hash.
+START_ROWS, SEED = 4 * D, 17
+#: Squared distance beyond which a row is rejected. For normal vectors chi-square would set it; text has heavier tails.
+CUTOFF = 200.0
 #: Rows within this chi-square quantile (D degrees of freedom, 97.5 %) of the raw estimate make the final one.
 INSIDE = 12.83
-#: Bins of a squared distance on a logarithmic scale.
-BINS_PER_OCTAVE = 16
+#: Bins of a squared distance on a logarithmic scale; the rows nearest to a centre are chosen by whole bins.
+BINS_PER_OCTAVE = 64
 
 
 def chi2_cdf(x: float, dof: int) -> float:
@@ -97,10 +103,19 @@ def text_statistics(raw: bytes) -> tuple[int, int, int, int, int]:
     return len(words), len(t) - sum(map(t.count, SPACES)), sum(map(t.count, SYMBOLS)), duplicate_lines(raw), repeated_words(words)
 
 
-def transformed(n_words: int, chars: int, symbols: int, dup_lines: int, repeats: int) -> list[int]:
-    """The vector that is judged, in multiples of 1 / GRID: ratios and logarithms that are about even for clean text."""
-    n = max(n_words, 1)
-    x = (math.log2(1 + chars / n), math.log2(1 + 10 * symbols / n), math.log2(1 + dup_lines), math.sqrt(repeats / n), math.log2(1 + n) / 4)
+LETTERS = np.array([65 <= b <= 90 or 97 <= b <= 122 or b > 127 or b == 32 for b in range(256)])
+
+
+def transformed(raw: bytes, n_words: int, chars: int) -> list[int]:
+    """The vector that is judged, in multiples of 1 / GRID: logarithms of mean word length, of other signs than letters a
+    word and of the number of words, the entropy of the bytes (corrected for short texts), and log(distinct) / log(words)."""
+    count = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    some = count[count > 0]
+    share = some / max(len(raw), 1)
+    entropy = -float((share * np.log2(share)).sum()) + (len(some) - 1) / (2 * max(len(raw), 1) * math.log(2))
+    variety = math.log(len(set(raw.split()))) / math.log(n_words) if n_words > 1 else 1.0
+    other = int(count[~LETTERS].sum())
+    x = (math.log((chars + 20) / (n_words + 4)), entropy, variety, math.log((other + 1) / (n_words + 3)), math.log(n_words + 1))
     return [round(v * GRID) for v in x]
 
 
@@ -113,9 +128,10 @@ def statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, 3):
-            found = [text_statistics(t) for t in as_bytes(batch.column(3))]
+            texts = as_bytes(batch.column(3))
+            found = [text_statistics(t) for t in texts]
             columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
-            x = pa.array([transformed(*f) for f in found], pa.list_(pa.int64()))
+            x = pa.array([transformed(t, f[0], f[1]) for t, f in zip(texts, found, strict=True)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, x], names=["doc_id", "lang", "source", *names, "x"])
 
     out = rows.mapInArrow(run, f"doc_id {kind}, lang string, source string, {', '.join(f'{n} long' for n in names)}, x array<long>")
@@ -123,86 +139,110 @@ def statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang
 
 
 PAIRS = [(i, j) for i in range(D) for j in range(i, D)]
+MODEL = "g string, k int, n long, s array<long>, q array<long>, centre array<double>, inverse array<double>, log_det double"
 
 
-def distance(centre: str = "centre", inverse: str = "inverse") -> Column:
-    """Squared Mahalanobis distance of x, from a model row's centre and the upper triangle of its inverse scatter."""
-    v = [F.col("x")[i] / F.lit(float(GRID)) - F.col(centre)[i] for i in range(D)]
-    terms = [F.col(inverse)[k] * v[i] * v[j] * (1.0 if i == j else 2.0) for k, (i, j) in enumerate(PAIRS)]
+def distance() -> Column:
+    """Squared Mahalanobis distance of v, from a model row's centre and the upper triangle of its inverse scatter."""
+    d = [F.col("v")[i] - F.col("centre")[i] for i in range(D)]
+    terms = [F.col("inverse")[k] * d[i] * d[j] * (1.0 if i == j else 2.0) for k, (i, j) in enumerate(PAIRS)]
     out = terms[0]
     for t in terms[1:]:
         out = out + t
     return out
 
 
-def moments() -> list[Column]:
-    return [F.count("*").alias("n"), F.array(*[F.sum(F.col("x")[i]) for i in range(D)]).alias("s"), F.array(*[F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in PAIRS]).alias("q")]
+def moments(v: Column) -> list[Column]:
+    return [F.count("*").alias("n"), F.array(*[F.sum(v[i]) for i in range(D)]).alias("s"), F.array(*[F.sum(v[i] * v[j]) for i, j in PAIRS]).alias("q")]
 
 
-def solve(factor: float):
-    """From exact sums of a group's chosen rows: centre and the inverse of scatter * factor, with the floor added."""
+def solve(factor: float = 1.0, widen: float = 0.0):
+    """From exact sums of chosen rows (g, k, n, s, q): centre, inverse of scatter * factor, and the logarithm of its
+    determinant. A start may be widened by a share of the spread that the sums came with (mad)."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            centres, inverses = [], []
-            for n, s, q in zip(b["n"], b["s"], b["q"], strict=True):
-                mu = [int(a) / int(n) for a in s]
-                cov = np.zeros((D, D))
-                for k, (i, j) in enumerate(PAIRS):
-                    cov[i, j] = cov[j, i] = (int(q[k]) - int(s[i]) * int(s[j]) / int(n)) / int(n) / GRID**2
-                inv = np.linalg.inv(cov * factor + np.diag(np.square(FLOOR)))
-                centres.append([m / GRID for m in mu])
+            centres, inverses, dets = [], [], []
+            for r in b.itertuples():
+                n, mu, cov = int(r.n), [int(a) / int(r.n) for a in r.s], np.zeros((D, D))
+                for (i, j), x in zip(PAIRS, r.q, strict=True):
+                    cov[i, j] = cov[j, i] = (int(x) - int(r.s[i]) * int(r.s[j]) / n) / n
+                cov = cov * factor + RIDGE * np.eye(D)
+                if widen:
+                    cov += widen * np.diag(np.square(np.array(r.mad, dtype=float)))
+                inv = np.linalg.inv(cov)
+                centres.append(mu)
                 inverses.append([float(inv[i, j]) for i, j in PAIRS])
-            yield pd.DataFrame({"g": b["g"], "centre": centres, "inverse": inverses})
+                dets.append(float(np.linalg.slogdet(cov)[1]))
+            yield pd.DataFrame({"g": b["g"], "k": b["k"].astype("int32"), "n": b["n"], "s": b["s"], "q": b["q"], "centre": centres, "inverse": inverses, "log_det": dets})
 
     return run
 
 
-MODEL = "g string, centre array<double>, inverse array<double>"
-
-
-def start(rows: DataFrame) -> DataFrame:
-    """A first model for each group: exact coordinate-wise medians, and scatter from the median deviation from them.
-
-    Values are integers on a grid, so that a group's distinct values are few, however many rows it has: their counts are
-    combined first, and the order statistic is a running sum over values.
-    """
-    def middle(values: DataFrame) -> DataFrame:
-        c = values.groupBy("g", "k", "v").agg(F.count("*").alias("n"))
-        w = W.partitionBy("g", "k")
-        c = c.withColumn("upto", F.sum("n").over(w.orderBy("v"))).withColumn("all", F.sum("n").over(w))
-        return c.where(2 * F.col("upto") >= F.col("all")).groupBy("g", "k").agg(F.min("v").alias("m"))
-
-    def spread(x: Column) -> list[Column]:
-        return ["g", F.posexplode(x).alias("k", "v")]
-
-    medians = sized(middle(rows.select(*spread(F.col("x")))).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("ms")).select("g", F.col("ms.m").alias("med")), "medians")
-    off = rows.join(medians, "g").select(*spread(F.zip_with("x", "med", lambda a, b: F.abs(a - b))))
-    mad = middle(off).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("ms")).select("g", F.col("ms.m").alias("mad"))
-    variance = [F.pow(F.col("mad")[i] * 1.4826 / GRID, F.lit(2.0)) + F.lit(FLOOR[i] ** 2) for i in range(D)]
-    inverse = F.array(*[1.0 / variance[i] if i == j else F.lit(0.0) for i, j in PAIRS])
-    return medians.join(mad, "g").select("g", F.transform("med", lambda m: m / F.lit(float(GRID))).alias("centre"), inverse.alias("inverse"))
-
-
-def concentrate(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """One concentration step: each group's SUPPORT of rows that are nearest by the model (whole bins of distance) give
-    the sums of the next. (g, n, s, q)"""
-    bins = F.floor(F.log2(F.least(distance(), F.lit(1e12)) + F.lit(1e-3)) * BINS_PER_OCTAVE)
-    near = rows.join(model, "g").select("g", "x", bins.alias("bin"))
-    c = near.groupBy("g", "bin").agg(F.count("*").alias("n"))
-    w = W.partitionBy("g")
+def middles(rows: DataFrame, x: Column, out: str) -> DataFrame:
+    """(g, out: the lower median of each statistic). Values are integers on a grid, so that a group's distinct values are
+    few, however many rows it has: their counts are combined first, and the order statistic is a running sum over values."""
+    c = rows.select("g", F.posexplode(x).alias("i", "value")).groupBy("g", "i", "value").agg(F.count("*").alias("n"))
+    w = W.partitionBy("g", "i")
+    c = c.withColumn("upto", F.sum("n").over(w.orderBy("value"))).withColumn("all", F.sum("n").over(w))
+    m = c.where(2 * F.col("upto") >= F.col("all")).groupBy("g", "i").agg(F.min("value").alias("m"))
+    return m.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("ms")).select("g", F.col("ms.m").alias(out))
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Three first models of each group of (g, v, mad; the median is at 0): median and median deviations, mean and scatter
+    of the vectors clipped at two deviations, and those of a few random rows."""
+    clipped = F.zip_with("v", "mad", lambda v, m: F.greatest(F.least(v, 2 * m), -2 * m))
+    diagonal = F.array(*[F.col("mad")[i] * F.col("mad")[i] if i == j else F.lit(0).cast("long") for i, j in PAIRS])
+    zero = F.array(*[F.lit(0).cast("long")] * D)
+    first = rows.select("g", "mad").groupBy("g").agg(F.min("mad").alias("mad")).select("g", F.lit(0).alias("k"), F.lit(1).cast("long").alias("n"), zero.alias("s"), diagonal.alias("q"), "mad")
+    second = rows.withColumn("c", clipped).groupBy("g", "mad").agg(*moments(F.col("c"))).select("g", F.lit(1).alias("k"), "n", "s", "q", "mad")
+    draw = W.partitionBy("g").orderBy(F.xxhash64(F.lit(SEED), "v"))
+    few = rows.withColumn("place", F.row_number().over(draw)).where(F.col("place") <= START_ROWS)
+    third = few.groupBy("g", "mad").agg(*moments(F.col("v"))).select("g", F.lit(2).alias("k"), "n", "s", "q", "mad")
+    return first.unionByName(second).unionByName(third).mapInPandas(solve(widen=0.01), MODEL)
+
+
+def concentrate(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """One concentration step: the SUPPORT of its group's rows that are nearest by a model (whole bins of distance) give
+    the sums of the next. (g, k, n, s, q)"""
+    bins = F.floor(F.log2(F.least(distance(), F.lit(1e15)) + F.lit(1e-9)) * BINS_PER_OCTAVE)
+    near = rows.join(models.select("g", "k", "centre", "inverse"), "g").select("g", "k", "v", bins.alias("bin"))
+    c = near.groupBy("g", "k", "bin").agg(F.count("*").alias("n"))
+    w = W.partitionBy("g", "k")
     c = c.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    cut = c.where(F.col("upto") >= SUPPORT * F.col("all")).groupBy("g").agg(F.min("bin").alias("cut"))
-    return near.join(sized(cut, "mcd-cut"), "g").where("bin <= cut").groupBy("g").agg(*moments())
+    cut = c.where(F.col("upto") >= SUPPORT * F.col("all")).groupBy("g", "k").agg(F.min("bin").alias("cut"))
+    return near.join(sized(cut, "mcd-cut"), ["g", "k"]).where("bin <= cut").groupBy("g", "k").agg(*moments(F.col("v")))
+
+
+def least_determinants(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """The model of least determinant of each group, after concentration from all starts until nothing changes."""
+    moving = sized(starts(rows), "mcd-start")
+    settled: DataFrame | None = None
+    for _ in range(steps):
+        now = sized(concentrate(rows, moving).mapInPandas(solve(), MODEL), "mcd")
+        same = now.join(moving.select("g", "k", F.col("n").alias("n0"), F.col("s").alias("s0"), F.col("q").alias("q0")), ["g", "k"])
+        same = same.withColumn("same", (F.col("n") == F.col("n0")) & (F.col("s") == F.col("s0")) & (F.col("q") == F.col("q0"))).drop("n0", "s0", "q0")
+        same = sized(same, "mcd-moved")
+        done = same.where("same").drop("same")
+        settled = done if settled is None else settled.unionByName(done)
+        moving = F.broadcast(same.where("not same").drop("same")) if fits(same) else same.where("not same").drop("same")
+        if not moving.limit(1).count():
+            break
+    settled = moving if settled is None else settled.unionByName(moving)
+    return settled.groupBy("g").agg(F.min_by(F.struct("k", "n", "s", "q"), F.struct("log_det", "k")).alias("x")).select("g", "x.*")
 
 
 def robust_models(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(g, centre, inverse) of every group of `rows` (g: string, x), by concentration steps and one reweighting: rows
-    within the D-dimensional 97.5 % region of the raw estimate."""
-    model = sized(start(rows), "mcd")
-    for i in range(steps):
-        model = sized(concentrate(rows, model).mapInPandas(solve(consistency(SUPPORT) if i == steps - 1 else 1.0), MODEL), "mcd")
-    inside = rows.join(model, "g").where(distance() <= INSIDE).groupBy("g").agg(*moments())
-    return materialize(inside.mapInPandas(solve(consistency(0.975)), MODEL), "mcd")
+    """(g, med, centre, inverse) of every group of `rows` (g: string, x: multiples of 1 / GRID): the estimate of least
+    determinant, then one reweighting by the rows within its 97.5 % region. centre is relative to med."""
+    med = sized(middles(rows, F.col("x"), "med"), "medians")
+    rows = materialize(rows.join(med, "g").select("g", F.zip_with("x", "med", lambda a, b: a - b).alias("v")), "centred")
+    mad = middles(rows, F.transform("v", F.abs), "mad").select("g", F.transform("mad", lambda m: F.greatest(F.round(m * 1.4826).cast("long"), F.lit(1).cast("long"))).alias("mad"))
+    raw = least_determinants(rows.join(sized(mad, "deviations"), "g"), steps)
+    raw = sized(raw.mapInPandas(solve(consistency(SUPPORT)), MODEL), "mcd-raw")
+    inside = rows.join(raw, "g").where(distance() <= INSIDE).groupBy("g", "k").agg(*moments(F.col("v")))
+    final = materialize(inside.mapInPandas(solve(consistency(0.975)), MODEL), "mcd-final")
+    return final.join(med, "g").select("g", "med", "centre", "inverse")
 
 
 def outlier_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -210,7 +250,7 @@ def outlier_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     (squared, rounded; null if base_failed) and kept.
 
     Estimates rest on the rows that pass the base rules. A group (language, source) of fewer than min_rows of these is
-    judged by its language's, a language that small by that of all rows; with no rows at all nothing is rejected.
+    judged by its language's, a language that small by that of all rows; where these are too few, too, nothing is rejected.
     Null text has no words and fails. Null languages and sources form groups. Other columns are ignored.
     """
     stats = materialize(statistics(docs, text, doc_id, lang, source), "statistics")
@@ -218,11 +258,12 @@ def outlier_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = name("lang", "source")
     good = stats.where(~F.col("base_failed")).select("lang", own.alias("own"), "x")
     sizes = materialize(good.groupBy("lang", "own").agg(F.count("*").alias("n")), "group-sizes")
+    rows_in_all = sizes.agg(F.sum("n")).first()[0] or 0
     by_lang = sizes.groupBy(F.col("lang").alias("of")).agg(F.sum("n").alias("in_lang"))
     level = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("of"))).select(
-        "own", F.when(F.col("n") >= min_rows, F.col("own")).when(F.col("in_lang") >= min_rows, name("lang")).otherwise("*").alias("g"),
+        "own", F.when(F.col("n") >= min_rows, F.col("own")).when(F.col("in_lang") >= min_rows, name("lang")).when(F.lit(rows_in_all >= min_rows), "*").alias("g"),
     )
-    level = sized(level, "levels")
+    level = sized(level.where("g is not null"), "levels")
     ways = level.select("g").distinct().agg(F.max(F.col("g").startswith('{"lang"') & ~F.col("g").contains('"source"')), F.max(F.col("g") == "*")).first()
     parts = good.join(level, "own").where(F.col("g") == F.col("own")).select("g", "x")
     if ways[0]:
@@ -230,8 +271,8 @@ def outlier_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     if ways[1]:
         parts = parts.unionByName(good.select(F.lit("*").alias("g"), "x"))
     models = robust_models(materialize(parts, "vectors"))
-    models = sized(level.join(models, "g").select("own", "centre", "inverse"), "models")
-    judged = stats.withColumn("own", own).join(models, "own", "left")
+    models = sized(level.join(models, "g").select("own", "med", "centre", "inverse"), "models")
+    judged = stats.withColumn("own", own).join(models, "own", "left").withColumn("v", F.zip_with("x", "med", lambda a, b: a - b))
     d2 = F.when(~F.col("base_failed"), F.round(distance(), 6))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", d2.alias("distance"),

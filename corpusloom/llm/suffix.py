@@ -425,7 +425,7 @@ def store_blocks(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, in
     n = max(4, -(-total // STORE_BYTES))
     name = f"corpusloom_blocks_{uuid.uuid4().hex}"
     blocks = rows.mapInArrow(build, "ids array<long>, sizes array<long>, body binary").withColumn("block", F.monotonically_increasing_id())
-    blocks.write.bucketBy(n, "block").option("path", f"{shared_dir(spark)}/corpusloom/{name}").saveAsTable(name)
+    blocks.write.bucketBy(n, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     stored = spark.table(name)
     spark.sql(f"drop table {name}")  # the files stay in the shared folder, and `stored` reads them
     return stored, n, total
