@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import as_bytes, schema_with, text_chunks
+from .common import as_bytes, place, schema_with, text_chunks
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -78,23 +78,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans + [(m.start(), 2, m.end()) for m in HEX_LONG.finditer(text)]
 
 
+def merged(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[str, int]]:
     """Candidate strings and their places; of one that base spans overlap, the parts of WINDOW characters or more between
     them. A candidate that a rule allows whole has none."""
-    taken = sorted((a, b) for a, _, b in taken)
+    taken = merged((a, b) for a, _, b in taken)
     first = 0
     for m in CANDIDATE.finditer(text):
         while first < len(taken) and taken[first][1] <= m.start():
             first += 1
         if any(a.fullmatch(m[0]) for a in ALLOW):
             continue
-        at = m.start()
-        for a, b in taken[first:]:
-            if a >= m.end():
-                break
+        at, i = m.start(), first
+        while i < len(taken) and taken[i][0] < m.end():
+            a, b = taken[i]
             if a - at >= WINDOW:
                 yield text[at:a], at
             at = max(at, b)
+            i += 1
         if m.end() - at >= WINDOW:
             yield text[at : m.end()], at
 
@@ -105,14 +116,8 @@ def entropy_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[in
     for s, at in candidates(text, taken):
         if any(a.fullmatch(s) for a in ALLOW):
             continue
-        runs = sorted(r for _, members, least in CLASSES for r in entropy_runs(s, members, least) if not any(a.fullmatch(s[r[0] : r[1]]) for a in ALLOW))
-        merged: list[list[int]] = []
-        for a, b in runs:
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        spans += [(at + a, 3, at + b) for a, b in merged]
+        runs = merged(r for _, members, least in CLASSES for r in entropy_runs(s, members, least) if not any(a.fullmatch(s[r[0] : r[1]]) for a in ALLOW))
+        spans += [(at + a, 3, at + b) for a, b in runs]
     return spans
 
 
@@ -127,7 +132,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = schema_with(docs, *fields)
     names = {n for n, _ in fields}
     carried = [c for c in docs.columns if c.lower() not in names]
-    at = docs.columns.index(text)
+    at = place(docs, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, at):

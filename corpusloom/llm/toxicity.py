@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from .common import as_bytes, materialize, schema_with, text_chunks
+from .common import as_bytes, materialize, place, schema_with, text_chunks
 
 #: Labelled rows that the model is fitted on, at most: those with the least md5 of seed and id.
 SAMPLE_ROWS = 6_000
+#: Bytes of their feature hashes, at most: rows in order of their id, until these are reached.
+SAMPLE_BYTES = 64 << 20
 #: Words in fewer sampled documents are no features.
 MIN_DOCS = 5
 #: A marker: a word this much more frequent among toxic documents, in this share of them at least.
@@ -126,7 +129,7 @@ def severity_grades(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", grade: str | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> OrdinalModel:
-    """Fit on sample_rows labelled documents at most. `grade` names a column of severity grades (0 to 3) in labels; without
+    """Fit on sample_rows labelled documents and SAMPLE_BYTES of features at most. `grade` names a column of severity grades (0 to 3) in labels; without
     it they are made from `label`. Rows without a label or id are left out; repeated ids count as often as they match."""
     wanted = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).select(F.col(doc_id).alias("i"), F.col(label).cast("long").alias("y"), *([F.col(grade).cast("long").alias("g")] if grade else []))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("i").cast("string")))
@@ -134,7 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     hashed = _hashes(F.col("text"))
     sample = docs.select(F.col(f"`{doc_id}`").alias("i"), F.col(f"`{text}`").alias("text")).join(F.broadcast(wanted), "i")
     # repeated ids could multiply the rows: the bound holds for what comes to the driver, too
-    rows = sample.select("i", "y", *(["g"] if grade else []), hashed.alias("f")).orderBy("i", "f").limit(sample_rows).collect()
+    rows = sample.select("i", "y", *(["g"] if grade else []), hashed.alias("f")).orderBy("i", "f").limit(sample_rows)
+    before = W.orderBy("i", "f").rowsBetween(W.unboundedPreceding, 0)  # over sample_rows rows at most
+    rows = rows.withColumn("upto", F.sum(F.octet_length("f")).over(before)).where(F.col("upto") <= SAMPLE_BYTES).drop("upto").collect()
     found = [np.frombuffer(r["f"], dtype="<u4").astype(np.int64) for r in rows]
     toxic = np.array([1 if r["y"] else 0 for r in rows], dtype=np.int64)
     grades = np.array([r["g"] for r in rows], dtype=np.int64) if grade else severity_grades(found, toxic)
@@ -152,7 +157,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject: floa
     out = ("expected_severity", T.DoubleType()), ("grade", T.IntegerType()), ("toxic", T.BooleanType())
     schema = schema_with(docs, *out)
     carried = [c for c in docs.columns if c.lower() not in {n for n, _ in out}]
-    at = docs.columns.index(text)
+    at = place(docs, text)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # weights: features of the bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
