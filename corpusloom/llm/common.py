@@ -156,22 +156,22 @@ def keep_least(docs: DataFrame, rows: DataFrame, nodes: DataFrame, key_of: Calla
 
     Ids that one row has are kept by a semi-join; keys are made again only for rows without an id or with a shared one."""
     least = nodes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
-    least = materialize(least.select(F.col("x.doc_id").alias("__k"), F.col("x.key").alias("__f")), "kept")
-    shared = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    k, x, i, f = (fresh(docs, c) for c in ("least_id", "least_key", "own_id", "own_key"))
+    least = materialize(least.select(F.col("x.doc_id").alias(k), F.col("x.key").alias(x)), "kept")
+    shared = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(i))
     shared = sized(shared, "shared-ids")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    i, f = fresh(docs, "__kept_id"), fresh(docs, "__kept_key")
     docs = docs.withColumn(i, F.col(f"`{doc_id}`"))
-    once = least.where("__k is not null").join(shared, F.col("__k") == F.col("doc_id"), "left_anti").select(F.col("__k").alias(i))
+    once = least.where(F.col(k).isNotNull()).join(shared, F.col(k) == F.col(i), "left_anti").select(F.col(k).alias(i))
     kept = docs.join(once, i, "left_semi").select(names)
-    again = least.where("__k is null").unionByName(least.join(shared, F.col("__k") == F.col("doc_id"), "left_semi"))
+    again = least.where(F.col(k).isNull()).unionByName(least.join(shared, F.col(k) == F.col(i), "left_semi"))
     again = materialize(again, "kept-by-key")
     if not again.limit(1).count():
         return kept
-    again = sized(again, "kept-by-key")
-    unsure = docs.where(F.col(i).isNull()).unionByName(docs.join(shared.withColumnRenamed("doc_id", i), i, "left_semi").select(docs.columns))
+    again = F.broadcast(again) if fits(again) else again
+    unsure = docs.where(F.col(i).isNull()).unionByName(docs.join(shared, i, "left_semi").select(docs.columns))
     unsure = unsure.withColumn(f, key_of(F.col(f"`{text}`")))
-    unsure = unsure.join(again, F.col(i).eqNullSafe(F.col("__k")) & (F.col(f) == F.col("__f")), "left_semi")
+    unsure = unsure.join(again, F.col(i).eqNullSafe(F.col(k)) & (F.col(f) == F.col(x)), "left_semi")
     return kept.unionByName(unsure.dropDuplicates([i, f]).select(names))
 
 

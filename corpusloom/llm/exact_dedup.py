@@ -6,14 +6,13 @@ with a proven bound) are broadcast, so that copies in hot groups are decided map
 
 from __future__ import annotations
 
-import hashlib
+import string
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .common import fresh, materialize
@@ -24,10 +23,9 @@ COUNTERS = 4096
 MIN_COPIES = 32
 
 
-@F.arrow_udf(returnType=T.BinaryType())
-def text_digest(text: pa.Array) -> pa.Array:
-    """SHA-256 of the text with A-Z lower-cased (bytes.lower() changes ASCII only); null counts as empty."""
-    return pa.array([hashlib.sha256((t or b"").lower()).digest() for t in text.cast(pa.binary()).to_pylist()], pa.binary())
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the text with A-Z lower-cased; null counts as empty."""
+    return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256))
 
 
 def shrink(counts: Counter, k: int) -> Counter:
@@ -78,15 +76,15 @@ def dedup_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", co
     rows = materialize(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_digest(F.col(f"`{text}`")).alias("digest")), "digests")
     winners = heavy_winners(rows, counters, min_copies)
     out = ["doc_id", "keep_id", "group_size", "kept", "digest"]
-    w = W.partitionBy("digest")
-    light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "doc_id", F.max("doc_id").over(w).alias("keep_id"), F.count("*").over(w).alias("group_size"),
-        (F.row_number().over(w.orderBy(F.col("doc_id").desc_nulls_last())) == 1).alias("kept"), "digest",
+    # of the others, too, only combined counts are shuffled by digest, and the rows are joined to them
+    light = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    groups = light.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).groupBy("digest").agg(
+        F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"), F.max_by("n", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("n_top"),
     )
-    hot = rows.join(F.broadcast(winners), "digest")
-    lost = hot.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False)).select(out)
-    top = winners.select("*", F.col("keep_id").alias("doc_id"), F.explode(F.sequence(F.lit(1), F.col("n_top"))).alias("copy"))
-    return light.select(out).unionByName(lost).unionByName(top.withColumn("kept", F.col("copy") == 1).select(out))
+    groups = materialize(groups, "groups")
+    lost = light.join(groups, "digest").unionByName(rows.join(F.broadcast(winners), "digest")).where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    top = groups.unionByName(winners).select("*", F.col("keep_id").alias("doc_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_top"))).alias("copy"))
+    return lost.withColumn("kept", F.lit(False)).select(out).unionByName(top.withColumn("kept", F.col("copy") == 1).select(out))
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", counters: int = COUNTERS, min_copies: int = MIN_COPIES) -> DataFrame:

@@ -8,6 +8,8 @@ gives the same rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -38,12 +40,13 @@ def weight_of(level: str, weights: dict[str, dict[str, int]]) -> Column:
     return out
 
 
-def fill(nodes: DataFrame, parents: list[str], budget: Column, level: str) -> DataFrame:
+def fill(nodes: DataFrame, parents: list[str], budget: Column, level: str, multiple: int) -> DataFrame:
     """Add `share` to nodes (parents, level, weight, capacity): the parent's budget by weight, where nobody gets more than
     its capacity and what it leaves goes to its siblings. In order of capacity / weight, a node is full if its capacity is
     no more than its part of what the earlier ones left; the others divide the rest by cumulative rounding."""
     by = W.partitionBy(*parents) if parents else W.partitionBy(F.lit(0))
-    order = by.orderBy(F.expr("capacity / cast(weight as double)"), level)
+    # capacity / weight, in integers: times the least common multiple of all weights
+    order = by.orderBy(F.col("capacity").cast("decimal(19,0)") * F.expr(f"{multiple} div weight").cast("decimal(18,0)"), level)
     past, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
     d = lambda c: c.cast("decimal(19,0)")
     n = nodes.withColumn("budget", budget).withColumn("left_over", F.col("budget") - F.coalesce(F.sum("capacity").over(past), F.lit(0))).withColumn("open_weight", F.sum("weight").over(after))
@@ -57,26 +60,27 @@ def fill(nodes: DataFrame, parents: list[str], budget: Column, level: str) -> Da
 
 def leaf_budgets(leaves: DataFrame, target: int, max_epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
     """(domain, lang, source, tokens, share) for leaves (domain, lang, source, tokens)."""
+    multiple = math.lcm(1, *(w for given in weights.values() for w in given.values()))
     leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
     shares: DataFrame | None = None
     for depth, level in enumerate(LEVELS):
         path = list(LEVELS[: depth + 1])
         nodes = leaves.groupBy(*path).agg(F.sum("capacity").alias("capacity")).withColumn("weight", weight_of(level, weights))
         if shares is None:
-            shares = fill(nodes, [], F.lit(target).cast("long"), level)
+            shares = fill(nodes, [], F.lit(target).cast("long"), level, multiple)
         else:
             above = shares.select(*[F.col(c).alias(f"p_{c}") for c in path[:-1]], F.col("share").alias("given"))
             nodes = nodes.join(above, [nodes[c].eqNullSafe(above[f"p_{c}"]) for c in path[:-1]]).drop(*[f"p_{c}" for c in path[:-1]])
-            shares = fill(nodes, path[:-1], F.col("given"), level).drop("given")
+            shares = fill(nodes, path[:-1], F.col("given"), level, multiple).drop("given")
     shares = shares.select(*[F.col(c).alias(f"s_{c}") for c in LEVELS], "share")
     return leaves.join(shares, [leaves[c].eqNullSafe(shares[f"s_{c}"]) for c in LEVELS]).select(*LEVELS, "tokens", "share")
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]], target: int | None = None, max_epochs: int = 2, seed: int = 11, domain: Column | None = None, tokens: Column | None = None, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", block_digits: int = BLOCK_DIGITS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]], domain: Column, target: int | None = None, max_epochs: int = 2, seed: int = 11, tokens: Column | None = None, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", block_digits: int = BLOCK_DIGITS) -> DataFrame:
     """The chosen rows with all their columns, a row once for each epoch that chose it, and mix_domain, mix_epoch (from 0)
     and mix_tokens added or replaced.
 
-    target: tokens in all (default: as many as there are). A leaf takes the rows of an epoch, in the order of the md5 of seed, epoch,
+    domain: the column or expression that names a row's domain. target: tokens in all (default: as many as there are). A leaf takes the rows of an epoch, in the order of the md5 of seed, epoch,
     id and text, that start below its share; rows that are alike in id and text share a place and are taken together. Null language,
     source and domain are nodes of their own; null text has no tokens, and is taken by every epoch that passes its place.
     No rows: no rows.
@@ -84,7 +88,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, int]], target: int | None
     names = {"mix_domain", "mix_epoch", "mix_tokens"}
     row, h = fresh(docs, "mix_row"), "h"
     base = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]).alias(row), (domain if domain is not None else source_domain(source)).alias("domain"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]).alias(row), domain.cast("string").alias("domain"),
         F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{source}`").cast("string").alias("source"), (tokens if tokens is not None else word_count(text)).alias("tokens"),
         F.col(f"`{doc_id}`").alias("id"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("digest"),
     )

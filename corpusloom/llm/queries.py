@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,18 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, mixing, packing, quality, secrets, sharding, simhash, suffix, toxicity
-from .common import table
+from .common import shared_dir, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 #: Target weights: web half of all tokens; within a domain English twice as much as German and French, and so on.
 WEIGHTS = {"domain": {"web": 4, "books": 2, "code": 1, "forum": 1}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 1}, "source": {"src0": 2}}
+MULTIPLE = math.lcm(*(w for given in WEIGHTS.values() for w in given.values()))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix(docs, WEIGHTS).select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"))
+    return mixing.mix(docs, WEIGHTS, mixing.source_domain()).select("doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col("mix_epoch").alias("epoch"), F.col("mix_tokens").alias("n_tokens"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +31,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each packed row: its documents' parts, cumulative lengths and digests of the id and position rows."""
-    packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN, eos=50256, pad=50256)
-    return packed.select(
+    """The id matrices are written; a row for each packed row that is read back: its documents' parts, cumulative lengths
+    and digests of the id and position rows."""
+    path = f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}"
+    packing.write_packed(packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN, eos=50256, pad=50256), path)
+    return spark.read.schema(packing.PACKED).parquet(path).select(
         F.col("pieces.doc_id").alias("doc_ids"), F.col("pieces.start").alias("starts"), "cu_seqlens", "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"),
     )
@@ -48,9 +53,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shards are written, whole rows, and what is returned is read from them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sharding.write_shards(sharding.two_pass_shuffle(docs), path)
+    written = spark.read.schema("doc_id long, text string, size long, slot long, shard int").parquet(path)
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return sharding.two_pass_shuffle(docs).select("doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return written.select("doc_id", "size", crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,14 +80,8 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_packing, op4_bpe, op5_toxicity, op6_sharding, op7_exact_dedup, op8_secrets, op9_simhash, op10_suffix, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_packing, op4_bpe, op5_toxicity, op6_sharding, op7_exact_dedup, op8_secrets, op9_simhash, op10_suffix)}
 
 
 def _weight(level: str) -> str:
@@ -91,7 +94,7 @@ def _fill(level: str, above: str | None) -> str:
     up = ", ".join(path[:-1])
     by = f"partition by {up}" if up else ""
     given = f"(select {', '.join(path)}, cap, w, p.share as budget from {level}_n join {above}_s p using ({up}))" if above else f"(select *, (select sum(tokens) from leaves)::bigint as budget from {level}_n)"
-    order = f"{by} order by cap / w::double, {level}"
+    order = f"{by} order by cap::hugeint * ({MULTIPLE} // w), {level}"
     return f"""
 {level}_n as (select {", ".join(path)}, sum(2 * tokens)::bigint as cap, {_weight(level)} as w from leaves group by {", ".join(path)}),
 {level}_a as (select *, budget - coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0) as over_,

@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, connected_components, keep_least, materialize, sized, text_chunks
+from .common import as_bytes, connected_components, fits, keep_least, materialize, text_chunks
 
 RADIUS = 4
 #: A bucket with more fingerprints than this is split by a second family of masks over the bits that are still free.
 BUCKET = 8192
+#: Fingerprints in more than one of HOT_SHARE rows are joined by broadcast.
+HOT_SHARE = 2000
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -117,7 +119,7 @@ def covering_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -
     hot = materialize(hot, "hot-buckets")
     if not hot.limit(1).count():
         return bucket_links(keyed, ["t", "key"], radius)
-    hot = sized(hot, "hot-buckets")
+    hot = F.broadcast(hot) if fits(hot) else hot
     second = [covering_masks([b for b in range(64) if not m >> b & 1], radius) for m in masks]
     parts = F.arrays_zip(F.sequence(F.lit(0), F.lit(len(masks) - 1)).alias("u"), F.element_at(F.array(*[F.array(*[F.lit(x) for x in ms]) for ms in second]), (F.col("t") + 1).cast("int")).alias("mask"))
     split = keyed.join(hot, ["t", "key"]).select("t", "key", "fp", F.explode(parts).alias("x"))
@@ -129,7 +131,7 @@ def covering_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -
 def labelled(docs: DataFrame, text: str, doc_id: str, radius: int, bucket: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written tables: (doc_id, fp) of each row, (fp, first: its least id), and (node, root) of the fingerprints with links."""
     rows = materialize(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_fingerprint(F.col(f"`{text}`")).alias("fp")), "fingerprints")
-    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "distinct")
     labels = materialize(connected_components(materialize(covering_links(first.select("fp"), radius, bucket), "links"), "components"), "labels")
     return rows, first, labels
 
@@ -145,8 +147,12 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radi
     linked = first.join(labels, F.col("fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = first.join(labels.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "fp", "left")
-    of_fp = of_fp.select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(of_fp, "fp").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+    of_fp = materialize(of_fp.select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "classes")
+    # a fingerprint of many rows isn't joined in one task; no more than HOT_SHARE fingerprints can have as many
+    many = of_fp.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(of_fp.where(F.col("n") * HOT_SHARE > many).select("fp", "component_id"))
+    joined = rows.join(hot, "fp").unionByName(rows.join(hot, "fp", "left_anti").join(of_fp.select("fp", "component_id"), "fp"))
+    return joined.select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:

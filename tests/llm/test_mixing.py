@@ -30,7 +30,7 @@ def test_fill_is_water_filling(spark):
     for _ in range(4):
         nodes = [(f"n{i}", rng.randint(0, 500), rng.randint(1, 6)) for i in range(7)]
         budget = rng.randint(0, 2500)
-        got = {r[0]: r[1] for r in mixing.fill(spark.createDataFrame(nodes, "lang string, capacity long, weight long"), [], F.lit(budget).cast("long"), "lang").select("lang", "share").collect()}
+        got = {r[0]: r[1] for r in mixing.fill(spark.createDataFrame(nodes, "lang string, capacity long, weight long"), [], F.lit(budget).cast("long"), "lang", 60).select("lang", "share").collect()}
         want = plain_fill(nodes, budget)
         assert all(abs(got[n] - want[n]) < 1 and got[n] <= c for n, c, _ in nodes)
         assert sum(got.values()) == min(budget, sum(c for _, c, _ in nodes))
@@ -38,7 +38,7 @@ def test_fill_is_water_filling(spark):
 
 @pytest.mark.parametrize("digits,target", [(3, None), (1, 5000), (3, 0), (3, 10**9)])
 def test_prefix_of_epochs(docs, rows, digits, target):
-    got = mixing.mix(docs.withColumn("H", F.lit(1)).withColumn("mix_epoch", F.lit("x")), {"lang": {"en": 3}}, target=target, block_digits=digits).collect()
+    got = mixing.mix(docs.withColumn("H", F.lit(1)).withColumn("mix_epoch", F.lit("x")), {"lang": {"en": 3}}, mixing.source_domain(), target=target, block_digits=digits).collect()
     tokens = defaultdict(int)
     for r in rows:
         tokens[r[2], r[3]] += len((r[1] or "").translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ")) - (r[1] or "").translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ").count("")
@@ -60,4 +60,4 @@ def test_query_equals_sql(spark, sf, no_docs):
     want = con.sql(OP1_SQL).fetchall()
     cols = [d[0] for d in con.sql(OP1_SQL).description]
     assert sorted(map(tuple, op1_mixing(spark, sf).select(cols).collect())) == sorted(want)
-    assert mixing.mix(no_docs, {}).count() == 0
+    assert mixing.mix(no_docs, {}, F.col("lang")).count() == 0

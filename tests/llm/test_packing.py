@@ -50,6 +50,28 @@ def test_round_trip(docs, rows):
     assert sorted(parts, key=repr) == sorted(want, key=repr)
 
 
+def test_written(docs, tmp_path):
+    packed = packing.pack(docs, RANKS, PATTERN, length=64, eos=50256)
+    packing.write_packed(packed, str(tmp_path / "out"))
+    back = docs.sparkSession.read.schema(packing.PACKED).parquet(str(tmp_path / "out"))
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, packed.collect()))
+
+
 def test_query_and_empty(spark, sf, no_docs):
-    assert sum(r["n_tokens"] for r in op3_packing(spark, sf).collect()) > 100_000
+    enc = packing.encoding(RANKS, PATTERN)
+    want = {r[0]: len(enc.encode_ordinary(r[1])) + 1 for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = op3_packing(spark, sf).collect()
+    have = {}
+    for r in got:
+        lengths = [b - a for a, b in zip(r["cu_seqlens"], r["cu_seqlens"][1:])]
+        assert sum(lengths) == r["n_tokens"] <= packing.LENGTH
+        for d, at, n in zip(r["doc_ids"], r["starts"], lengths, strict=True):
+            have.setdefault(d, []).append((at, n))
+    for d, parts in have.items():  # every token once, in parts that follow each other
+        at = 0
+        for start, n in sorted(parts):
+            assert start == at
+            at += n
+        assert at == want[d]
+    assert have.keys() == want.keys() and sum(r["n_tokens"] for r in got) / (len(got) * packing.LENGTH) > 0.97
     assert packing.pack(no_docs, RANKS, PATTERN).count() == 0

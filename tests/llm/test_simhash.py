@@ -96,3 +96,14 @@ def test_components_that_share_an_id_or_have_none(spark):
     assert keep([(None, x), (None, y), (None, y), (7, z), (None, z)]) == sorted([(None, x), (None, y), (7, z)], key=repr)
     assert keep([(5, x), (5, y)]) == sorted([(5, x), (5, y)], key=repr)
     assert keep([(3, x), (5, x.upper()), (5, y)]) == sorted([(3, x), (5, y)], key=repr)
+
+
+def test_hot_fingerprints_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_SHARE", 4)
+    x, y = (" ".join(f"{c}{i % 50}" for i in range(200)) for c in "xy")
+    rows = [(i, None) for i in range(9)] + [(20 + i, x) for i in range(6)] + [(40, y), (None, y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.components(docs).collect()), key=repr) == expected(rows)
+    names = {n: F.lit("mine") for n in ("least_id", "least_key", "own_id", "own_key", "n", "root", "key")}
+    got = simhash.drop_near_copies(docs.withColumns(names)).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 20, 40] and all(r[n] == "mine" for r in got for n in names)
