@@ -169,3 +169,17 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject: floa
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text: str = "text", reject: float = REJECT) -> DataFrame:
+    """The rows that score() doesn't call toxic, with their columns and no others."""
+    at = place(docs, text)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # weights: features of the bounded sample
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in text_chunks(batches, at):
+            p = [known.exceed(features(t)) for t in as_bytes(batch.column(at))]
+            yield batch.filter(pa.array([not x or x[0] < reject for x in p], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
