@@ -39,24 +39,29 @@ QUERY_WORDS, QUERY_BYTES, QUERY_ROWS = 32_768, 1 << 19, 6_000_000
 #: What the database may hold; a single pre-token needs about 0.5 kB for each of its bytes.
 MEMORY = "2GB"
 
-#: t: tokens that start at g in stretch tile, followed by nid at q. tie: a stretch's pairs of its least rank r. alone:
-#: stretches with one tie and no neighbour. turn: a tie whose merge makes a pair of lower rank, which goes first then.
-#: run: ties one after another, of which every second one merges. Ties merge where no neighbour has a lower rank, and
-#: none to the left can still change them.
-MERGE_SQL = """with recursive t(step, w, g, tile, id, q, nid) as (
+#: t: tokens that start at g in stretch tile (below 0: a word's only one), followed by nid at q. first: a stretch's
+#: leftmost pair of the least rank r. A word of one stretch contracts that. Of longer words, stretches contract all their
+#: ties, where no neighbour has a lower rank and none to the left can still change them. turn: a tie whose merge makes a
+#: pair of lower rank, which goes first then. run: ties one after another, of which every second one merges.
+MERGE_SQL = """
+with recursive t(step, w, g, tile, id, q, nid) as (
     select 0::int, w, g, tile, id, q, nid from start
     union all
     (with pair as (
         select w, g, q, tile, m.id as r from t join merges m on m.pair = ((t.id::bigint << 20) | t.nid) where step < $steps
+    ), first as (
+        select tile, min((r::bigint << 32) | g) as best, min(w) as w from pair group by tile
+    ), spot as (
+        select f.w, (best >> 32)::int as r, (best & 4294967295)::int as g from first f where tile < 0
+    ), single as (
+        select spot.w, spot.r, spot.g, a.q, b.q as q2, b.nid as y from spot join t a on a.g = spot.g join t b on b.g = a.q
     ), least as (
-        select tile, min(r) as r from pair group by tile
+        select tile, (best >> 32)::int as r from first where tile >= 0
     ), tie as (
         select c.w, c.g, c.q, c.tile, c.r from pair c join least l on l.tile = c.tile and l.r = c.r
-    ), alone as (
-        select tile from tie group by tile having count(*) = 1 except all select tile from (select tile + 1 as tile from least union all select tile - 1 from least)
     ), crowd as (
-        select tie.*, b.nid as y, u.pair is not null or v.pair is not null or z.pair is not null as turn
-        from tie anti join alone on alone.tile = tie.tile join t b on b.g = tie.q left join t a on a.q = tie.g
+        select tie.*, b.q as q2, b.nid as y, u.pair is not null or v.pair is not null or z.pair is not null as turn
+        from tie join t b on b.g = tie.q left join t a on a.q = tie.g
             left join turns u on u.pair = ((tie.r::bigint << 20) | b.nid) left join turns v on v.pair = ((a.id::bigint << 20) | tie.r) left join turns z on z.pair = ((tie.r::bigint << 20) | tie.r)
     ), area as (
         select tile, r, bool_or(turn) as turn from crowd group by tile, r
@@ -64,19 +69,19 @@ MERGE_SQL = """with recursive t(step, w, g, tile, id, q, nid) as (
         select o.tile, coalesce(l.r > o.r or l.r = o.r and not l.turn, true) and coalesce(n.r >= o.r, true) as ok, coalesce(l.r > o.r, true) as first_of
         from area o left join area l on l.tile = o.tile - 1 left join area n on n.tile = o.tile + 1
     ), run as (
-        select crowd.*, ok, first_of, sum(case when turn then 1 else 0 end) over (partition by tile order by g rows between unbounded preceding and 1 preceding) as turns_before,
+        select c.*, ok, first_of, sum(case when turn then 1 else 0 end) over (partition by c.tile order by g rows between unbounded preceding and 1 preceding) as turns_before,
             sum(case when g = before and r = rank_before then 0 else 1 end) over (order by g) as run
-        from (select *, lag(q) over (order by g) as before, lag(r) over (order by g) as rank_before from crowd) crowd join ready using (tile)
-    ), chosen as (
-        select w, g, q, r from tie semi join alone on alone.tile = tie.tile
-        union all
-        select w, g, q, r from (select *, row_number() over (partition by run order by g) as place, first_value(ok) over (partition by run order by g) as begun from run)
-        where ok and begun and (first_of or not turn) and place % 2 = 1 and coalesce(turns_before, 0) = 0
+        from (select *, lag(q) over (order by g) as before, lag(r) over (order by g) as rank_before from crowd) c join ready on ready.tile = c.tile
     ), taken as (
-        select c.g, c.q, c.r, b.q as q2, b.nid as y from chosen c join t b on b.g = c.q
+        select w, g, q, r, q2, y from (select *, row_number() over (partition by run order by g) as place, first_value(ok) over (partition by run order by g) as begun from run)
+        where ok and begun and (first_of or not turn) and place % 2 = 1 and coalesce(turns_before, 0) = 0
     )
+    select step + 1, t.w, t.g, t.tile, case when t.g = s.g then s.r else t.id end, case when t.g = s.g then s.q2 else t.q end,
+        case when t.g = s.g then s.y when t.q = s.g then s.r else t.nid end
+    from t join single s on s.w = t.w where t.g <> s.q
+    union all
     select step + 1, t.w, t.g, t.tile, coalesce(c.r, t.id), case when c.g is null then t.q else c.q2 end, coalesce(n.r, case when c.g is null then t.nid else c.y end)
-    from t semi join (select distinct w from chosen) s on s.w = t.w anti join taken d on d.q = t.g left join taken c on c.g = t.g left join taken n on n.g = case when c.g is null then t.q else c.q2 end)
+    from t semi join taken s on s.w = t.w anti join taken d on d.q = t.g left join taken c on c.g = t.g left join taken n on n.g = case when c.g is null then t.q else c.q2 end)
 )
 select t.w, t.g, t.tile, t.id, t.q, t.nid, step from t join (select w, max(step) as last from t group by w) e on e.w = t.w and e.last = t.step
 """
@@ -133,7 +138,7 @@ class Codec:
         ids, last = self.byte_ids[data], np.zeros(len(data), dtype=bool)
         last[first + lengths - 1] = True
         now = pa.table({
-            "w": w, "g": g, "tile": ((np.cumsum(tiles) - tiles)[w] + (g - first[w]) // size[w]).astype(np.int32), "id": ids,
+            "w": w, "g": g, "tile": np.where((lengths <= size)[w], -1 - w, (np.cumsum(tiles) - tiles)[w] + (g - first[w]) // size[w]).astype(np.int32), "id": ids,
             "q": pa.array(g + 1, pa.int32(), mask=last), "nid": pa.array(np.append(ids[1:], 0), pa.int32(), mask=last),
         })
         done: list[pa.Table] = []
