@@ -117,7 +117,18 @@ class Runs:
         cut = np.flatnonzero((np.diff(place) != 0) | (np.diff(start) != 1)) + 1
         first = np.concatenate([[0], cut])
         self.lo, self.hi, self.place = start[first], start[np.concatenate([cut, [len(start)]]) - 1], place[first]
-        self.key, self.doc = h[self.place], of[self.lo].astype(np.int64)
+        self.key = mixed(h[self.place] * U(BASE))  # mixed once more: least hashes aren't spread evenly over the buckets
+        self.doc = of[self.lo].astype(np.int64)
+
+    def sketch(self, at: np.ndarray) -> np.ndarray:
+        """A hash of each run's bounds and first and last bytes, to count different runs with."""
+        out = mixed((self.place[at] - self.lo[at]).astype(U) << U(8) | (self.hi[at] - self.lo[at]).astype(U))
+        for start in (self.lo[at], self.hi[at] + DEPTH - 8):
+            part = np.zeros(len(at), U)
+            for k in range(8):
+                part = part << U(8) | self.data[start + k].astype(U)
+            out = mixed(out * U(BASE) + part)
+        return out
 
     def rows(self, at: np.ndarray) -> np.ndarray:
         """The bytes of each run lo .. hi + DEPTH as a row of ROW bytes."""
@@ -141,14 +152,9 @@ def radix(key: np.ndarray, buckets: int) -> np.ndarray:
     return (((key >> U(32)) * U(buckets)) >> U(32)).astype(np.int64)
 
 
-def digits(rows: np.ndarray) -> np.ndarray:
-    """The bytes of each row, 8 at a time, as numbers in the order of the bytes."""
-    return np.ascontiguousarray(rows).view(">u8").astype(U)
-
-
 def row_hash(rows: np.ndarray) -> np.ndarray:
     out = np.zeros(len(rows), U)
-    for column in digits(rows).T:
+    for column in np.ascontiguousarray(rows).view(U).T:
         out = mixed(out * U(BASE) + column)
     return out
 
@@ -156,25 +162,26 @@ def row_hash(rows: np.ndarray) -> np.ndarray:
 def collapse(rows: np.ndarray, ids: np.ndarray, deal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Equal rows made one, in the order of `deal`, a hash of (part of) them: (rows, least ids, deal, each row's place).
     Rows are compared by their bytes; if hashes of unequal rows agree, some equal ones may stay apart."""
-    h = row_hash(rows)
-    order = np.lexsort((h, deal))
-    r = rows[order]
-    new = np.ones(len(r), bool)
-    new[1:] = (deal[order][1:] != deal[order][:-1]) | (h[order][1:] != h[order][:-1]) | (r[1:] != r[:-1]).any(axis=1)
-    place = np.empty(len(r), np.int64)
+    order = np.lexsort((row_hash(rows), deal))
+    new = np.ones(len(rows), bool)
+    new[1:] = deal[order][1:] != deal[order][:-1]
+    for column in np.ascontiguousarray(rows).view(U).T:
+        x = column[order]
+        new[1:] |= x[1:] != x[:-1]
+    place = np.empty(len(rows), np.int64)
     place[order] = np.cumsum(new) - 1
-    least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(r) else ids
-    return r[new], least, deal[order][new], place
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(rows) else ids
+    return rows[order[new]], least, deal[order][new], place
 
 
 def least_equal(rows: np.ndarray, group: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For each row (whole digits long) the least id among the rows of its group with the same bytes: radix passes, most
     significant digit first; a row that is alone in its group is done."""
     least, live, g = ids.copy(), np.arange(len(rows)), group
-    for column in digits(rows).T:
+    for column in np.ascontiguousarray(rows).view(">u8").T:  # 8 bytes as a number in the order of the bytes
         if not len(live):
             break
-        x = column[live]
+        x = column[live].astype(U)
         order = np.lexsort((x, g))
         live, x, g = live[order], x[order], g[order]
         new = np.ones(len(live), bool)
@@ -222,9 +229,9 @@ class Block:
         """A run's place in the first pass: radix bucket, then CODE bits. Keys that share it are told apart later."""
         return radix(key, self.buckets) << CODE | (key & U((1 << CODE) - 1)).astype(np.int64)
 
-    def first_digits(self, steps: list[tuple[int, Runs]] | Iterator[tuple[int, Runs]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct codes in order, whether several documents of this block have them, and their runs: 0 to 2 for 4, 32,
-        HOT_BLOCK at most, 3 for more."""
+    def first_digits(self, steps: list[tuple[int, Runs]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct codes in order, whether several documents of this block have them, and how many different runs: 0 to 2
+        for 4, 32, HOT_BLOCK at most, 3 for more."""
         codes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at, runs in steps:
             codes.append(self.code(runs.key))
@@ -236,7 +243,17 @@ class Block:
             return c, c > 0, c
         first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         count = np.diff(np.append(first, len(c)))
-        return c[first], np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.searchsorted([4, 32, HOT_BLOCK], count)
+        found = c[first]
+        often = np.flatnonzero(count > 4)  # copies of one run are one run
+        pairs = [np.zeros((0, 2), np.int64)]
+        for (_, runs), mine in zip(steps, codes[1:], strict=True):
+            at = np.searchsorted(found[often], mine)
+            at[at == len(often)] = 0
+            hit = np.flatnonzero(found[often][at] == mine) if len(often) else np.zeros(0, np.int64)
+            pairs.append(np.unique(np.stack([at[hit], runs.sketch(hit).view(np.int64)], axis=1), axis=0))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        count[often] = np.bincount(pairs[:, 0], minlength=len(often))
+        return found, np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.searchsorted([4, 32, HOT_BLOCK], count)
 
 
 def cut_by(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -263,7 +280,7 @@ def unpacked(raw: bytes) -> bytes:
 
 
 def first_pass(block: Block) -> Iterator[tuple[int, bytes]]:
-    codes, several, size = block.first_digits(block.steps())
+    codes, several, size = block.first_digits(list(block.steps()))
     sent = (((codes & ((1 << CODE) - 1)) << 3) | several << 2 | size).astype("<u4")
     for x, a, b in cut_by(codes >> CODE):
         yield x, sent[a:b].tobytes()
