@@ -14,9 +14,19 @@ def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def token_bytes(text: Column) -> Column:
+    """The byte tokenizer's ids as little-endian unsigned 32-bit integers, end to end (binary), in one pass over the text."""
+    return F.unhex(F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "(..)", "$1000000"))
+
+
 def token_hash(text: Column) -> Column:
     """SHA-256 of the byte tokens as little-endian unsigned 32-bit integers."""
-    return F.sha2(F.unhex(F.regexp_replace(F.hex(F.encode(text, "UTF-8")), "(..)", "$1000000")), 256)
+    return F.sha2(token_bytes(text), 256)
+
+
+def token_slice(ids: Column, start: Column, n: Column) -> Column:
+    """n tokens of a binary token column from place `start` (from 0)."""
+    return F.substring(ids, (4 * start + 1).cast("int"), (4 * n).cast("int"))
 
 
 def hash_bucket(seed: int, content: Column, buckets: int = 10000) -> Column:
@@ -40,10 +50,3 @@ def source_id(identity: Column, content: Column) -> Column:
 def order_key(seed: int, content: Column, identity: Column) -> Column:
     """A deterministic order: sha256 of seed, content hash and id."""
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), content, identity.cast("string")), 256)
-
-
-def byte_tokens(text: Column) -> Column:
-    """UTF-8 bytes as an array of integers."""
-    data = F.hex(F.encode(text, "UTF-8"))
-    n = (F.length(data) / 2).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.conv(F.substring(data, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))

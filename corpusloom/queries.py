@@ -11,10 +11,16 @@ from pyspark.sql.window import Window as W
 from .functions import hashing as H
 from .operators import corpus as C
 from .operators import metrics as M
-from .operators.prefix import running
+from .operators import registry as R
+from .operators.order import buffered
+from .operators.prefix import blocked, running
+from .operators.tokenize import ByteTokenizer, token_fault, tokenize, vocabulary
 from .plans import budget as B
+from .sources import stage as ST
+from .streaming.jobs import distinct_documents, drained, ingest, monotone_stream, scratch, stream_of
 
-CAP, SHARD, LENGTH, CYCLES = 500_000, 100_000, 512, 5
+#: A budget that ends within every table, and one that holds every table; shards as in production.
+CAP, ALL, SHARD, LENGTH, CYCLES = 500_000, 1 << 50, 250_000_000, 512, 5
 SPLIT_SEED, ORDER_SEED, PERMYRIAD = 41001, 31, 1000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +55,8 @@ BUDGET = f"""
 starts as (select *, coalesce(sum(n + 1) over (order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as token_start, row_number() over (order by ord) - 1 as document_index from reasons where reason is null),
 packed as (select *, least(n, {CAP} - token_start - 1) as k from starts where token_start <= {CAP} - 2),
 bounds as (select document_index, doc_id, content as content_sha256, tok_sha as token_ids_sha256, token_start, k as content_token_count, token_start + k + 1 as token_end, k < n as truncated, split, text from packed)"""
+WHOLE = BUDGET.replace(str(CAP), str(ALL))
+EVERY = f"with {DOCS}, chosen as (select * from split_ where split = 'train'), {REASONS}, {WHOLE}"
 PACKED = f"with {DOCS}, chosen as (select * from split_ where split = 'train' and lang = 'en'), {REASONS}, {BUDGET}"
 
 
@@ -57,12 +65,12 @@ def selected(spark, sf, lang="en", split="train"):
     return C.select_documents(d if lang is None else d.where(F.col("lang") == lang), order_seed=ORDER_SEED, split_seed=SPLIT_SEED, permyriad=PERMYRIAD, split=split)
 
 
-def packed(spark, sf):
-    return C.pack_to_budget(C.accept_reasons(selected(spark, sf)).where("reason is null"), CAP)
+def packed(spark, sf, cap=CAP, lang="en"):
+    return C.pack_to_budget(C.accept_reasons(selected(spark, sf, lang)).where("reason is null"), cap)
 
 
-def bounds(spark, sf):
-    return packed(spark, sf).select("document_index", "doc_id", F.col("content").alias("content_sha256"), F.col("tok_sha").alias("token_ids_sha256"), "token_start", "content_token_count", "token_end", "truncated", "split")
+def bounds(spark, sf, cap=CAP, lang="en"):
+    return packed(spark, sf, cap, lang).select("document_index", "doc_id", F.col("content").alias("content_sha256"), F.col("tok_sha").alias("token_ids_sha256"), "token_start", "content_token_count", "token_end", "truncated", "split")
 
 
 @query(PACKED + " select * exclude (text) from bounds")
@@ -110,9 +118,23 @@ def rejection_counts(spark, sf):
     return _faulty(t(spark, sf, "documents")).groupBy(C.validity(F.col("text")).alias("reason")).agg(F.count("*").alias("n")).where("reason is not null")
 
 
-@query("select doc_id from documents where doc_id < 500")
+@query("select doc_id from (select doc_id, row_number() over (order by doc_id * 7 + 3) as place from documents where doc_id % 3 <> 1) where place <= 300")
 def input_cap(spark, sf):
-    return C.capped(t(spark, sf, "documents"), "doc_id", 500).select("doc_id")
+    d = t(spark, sf, "documents").where("doc_id % 3 <> 1").withColumn("ordinal", F.col("doc_id") * 7 + 3)
+    return C.capped(d, "ordinal", 300).select("doc_id")
+
+
+@query(f"with {DOCS} select 'assigned_to_' || split as reason, count(*) as n from split_ where split <> 'train' group by split")
+def assigned_elsewhere(spark, sf):
+    return C.purpose_counts(selected(spark, sf, None, None), "train")
+
+
+@query("""with r as (select doc_id, case when doc_id % 97 = 0 then 'missing_or_non_string_text' when doc_id % 89 = 0 then 'empty_text' end as reason from documents)
+select reason, sum(n)::bigint as n from (select reason, count(*) as n from r where doc_id < 400 group by reason union all select reason, count(*) from r where doc_id >= 400 group by reason) where reason is not null group by reason""")
+def merged_rejections(spark, sf):
+    d = _faulty(t(spark, sf, "documents"))
+    part = lambda c: d.where(c).groupBy(C.validity(F.col("text")).alias("reason")).agg(F.count("*").alias("n")).where("reason is not null")
+    return C.merged_counts(part("doc_id < 400"), part("doc_id >= 400"))
 
 
 @query("select lang, count(*) as n, min(doc_id) as first_doc from documents group by lang")
@@ -125,10 +147,30 @@ def dedup_reasons(spark, sf):
     return C.accept_reasons(selected(spark, sf, None, None)).select("doc_id", "reason")
 
 
-@query(f"with {DOCS}, chosen as (select * replace (sha256(unhex(regexp_replace(hex(encode(substr(text, 1, 40))), '(..)', '\\1000000', 'g'))) as tok_sha) from split_), {REASONS} select doc_id, reason from reasons")
+class Consonants:
+    """A lossy tokenizer: whole texts, without vowels, blanks and signs, so that different texts can have equal tokens."""
+
+    eos_token_id = 255
+
+    def encode(self, text):
+        return [b for b in text.lower().encode() if b in b"bcdfghjklmnpqrstvwxyz"]
+
+    def encode_batch(self, texts):
+        return [self.encode(x) for x in texts]
+
+
+LOSSY = "regexp_replace(lower(text), '[^bcdfghjklmnpqrstvwxyz]', '', 'g')"
+
+
+@query(f"""with {DOCS}, c0 as (select * replace (sha256(unhex(regexp_replace(hex(encode({LOSSY})), '(..)', '\\1000000', 'g'))) as tok_sha) from
+    (select doc_id, text, content, ord from split_ union all select -1 - doc_id, replace(replace(text, 'e', 'o'), ',', ''), sha256(replace(replace(text, 'e', 'o'), ',', '')), sha256('x' || ord) from split_) s, lateral (select ''::varchar as tok_sha)),
+chosen as (select * from c0 where {LOSSY} <> ''), {REASONS}
+select doc_id, reason from reasons union all select doc_id, 'empty_tokenization' from c0 where {LOSSY} = ''""")
 def token_overlap_reasons(spark, sf):
-    d = selected(spark, sf, None, None).withColumn("head", F.substring("text", 1, 40))
-    return C.accept_reasons(d, tokens_of="head").select("doc_id", "reason")
+    d = selected(spark, sf, None, None).select("doc_id", "text", "content", "ord")
+    other = F.regexp_replace(F.regexp_replace("text", "e", "o"), ",", "")
+    d2 = d.select((-1 - F.col("doc_id")).alias("doc_id"), other.alias("text"), H.content_hash(other).alias("content"), F.sha2(F.concat(F.lit("x"), "ord"), 256).alias("ord"))
+    return C.accept_reasons(d.unionByName(d2), tokenizer=Consonants()).select("doc_id", "reason")
 
 
 @query(f"""with {DOCS}, reg as (select distinct content from split_ where doc_id % 10 = 0),
@@ -153,10 +195,28 @@ def token_hash(spark, sf):
     return t(spark, sf, "documents").select("doc_id", H.token_hash(F.col("text")).alias("tok_sha"), F.octet_length("text").cast("long").alias("n_tokens"))
 
 
-@query("select doc_id, list_max(b) as max_id, list_min(b) as min_id, list_max(b) > 200 as out_of_range from (select doc_id, list_transform(range(1, octet_length(encode(text))::bigint + 1), lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::int) as b from documents where n_chars between 1 and 300)")
+@query("""with b as (select doc_id, unnest(list_distinct(regexp_extract_all(hex(encode(text)), '..'))) as h from documents),
+m as (select doc_id, max(('0x' || h)::int)::bigint as max_id, min(('0x' || h)::int)::bigint as min_id from b group by doc_id)
+select doc_id, max_id, min_id, case when octet_length(encode(text)) = 0 then 'empty_tokenization' when max_id > 200 then 'token_id_out_of_range' end as reason from documents left join m using (doc_id)""")
 def token_range_check(spark, sf):
-    d = t(spark, sf, "documents").where("n_chars between 1 and 300").select("doc_id", H.byte_tokens(F.col("text")).alias("b"))
-    return d.select("doc_id", F.array_max("b").alias("max_id"), F.array_min("b").alias("min_id"), (F.array_max("b") > 200).alias("out_of_range"))
+    d = tokenize(t(spark, sf, "documents").select("doc_id", "text"), ByteTokenizer(), keep_ids=False)
+    return d.select("doc_id", F.col("most").alias("max_id"), F.col("least").alias("min_id"), token_fault(200).alias("reason"))
+
+
+OUTCOME = f"""with {DOCS}, chosen as (select * from split_ where split = 'train' and lang = 'en'), {REASONS},
+c as (select *, coalesce(sum(n + 1) over (order by ord rows between unbounded preceding and 1 preceding), 0) as token_start from reasons where reason is null),
+stop as (select min((ord, why)) as s from (select ord, '' as why from c where token_start <= {{cap}} - 2 and token_start + n + 1 >= {{cap}} union all select ord, 'insufficient_token_budget' from c where token_start = {{cap}} - 1)),
+o as (select r.*, case when s is not null and ord = s[1] and reason is null then nullif(s[2], '') else reason end as why from reasons r, stop where s is null or ord <= s[1])
+select coalesce(why, 'accepted') as reason, count(*) as n from o group by 1"""
+
+
+def _outcome(spark, sf, cap):
+    return C.budget_outcome(C.accept_reasons(selected(spark, sf)), cap).groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(OUTCOME.format(cap=CAP))
+def budget_outcomes(spark, sf):
+    return _outcome(spark, sf, CAP)
 
 
 @query(PACKED + f" select count(*) as documents, max(token_end) as tokens, sum(truncated::int)::bigint as truncated, max(token_end) // {LENGTH} as sequences, (max(token_end) // {LENGTH}) * ({LENGTH} - 1) as targets, max(token_end) = {CAP} as complete from bounds")
@@ -165,99 +225,142 @@ def budget_status(spark, sf):
     return bounds(spark, sf).agg(F.count("*").alias("documents"), F.max("token_end").alias("tokens"), F.sum(F.col("truncated").cast("long")).alias("truncated"), seqs.alias("sequences"), (seqs * (LENGTH - 1)).alias("targets"), (F.max("token_end") == CAP).alias("complete"))
 
 
-@query(PACKED + f", s as (select unnest(range(token_start // {SHARD}, (token_end - 1) // {SHARD} + 1)) as shard_index, token_start, token_end from bounds) select shard_index, sum(least(token_end, (shard_index + 1) * {SHARD}) - greatest(token_start, shard_index * {SHARD}))::bigint as token_count, count(*) as document_parts from s group by shard_index")
+@query(EVERY + f", s as (select unnest(range(token_start // {SHARD}, (token_end - 1) // {SHARD} + 1)) as shard_index, token_start, token_end from bounds) select shard_index, sum(least(token_end, (shard_index + 1) * {SHARD}) - greatest(token_start, shard_index * {SHARD}))::bigint as token_count, count(*) as document_parts from s group by shard_index")
 def shard_table(spark, sf):
-    return C.shard_table(bounds(spark, sf), SHARD)
+    return C.shard_table(bounds(spark, sf, ALL, None), SHARD)
 
 
-@query(PACKED + f" select document_index, token_start // {SHARD} as shard_index, token_start % {SHARD} as token_offset from bounds")
+@query(EVERY + f" select document_index, token_start // {SHARD} as shard_index, token_start % {SHARD} as token_offset from bounds")
 def shard_positions(spark, sf):
-    return bounds(spark, sf).select("document_index", F.expr(f"token_start div {SHARD}").alias("shard_index"), (F.col("token_start") % SHARD).alias("token_offset"))
+    return bounds(spark, sf, ALL, None).select("document_index", F.expr(f"token_start div {SHARD}").alias("shard_index"), (F.col("token_start") % SHARD).alias("token_offset"))
 
 
-SEQ = PACKED + f""", toks as (select token_start + unnest(range(k + 1)) as p, unnest(list_append(list_transform(range(1, k + 1), lambda i: ('0x' || substr(h, 2 * i - 1, 2))::int), 255)) as id
-    from (select token_start, content_token_count as k, hex(encode(text)) as h from bounds)),
-seqs as (select p // {LENGTH} as seq_id, count(*) as n, sha256(string_agg(id::varchar, ',' order by p)) as digest, sum(id)::bigint as total from toks group by 1 having n = {LENGTH})"""
+STREAM = EVERY + f""", body as (select token_start, k, regexp_replace(hex(encode(text)), '(..)', '\\1000000', 'g') || 'FF000000' as h from (select token_start, content_token_count as k, text from bounds)),
+cut as (select token_start, h, k, unnest(range(token_start // {LENGTH}, (token_start + k) // {LENGTH} + 1)) as seq_id from body),
+part as (select seq_id, greatest(token_start, seq_id * {LENGTH}) as p, least(token_start + k + 1, (seq_id + 1) * {LENGTH}) as e, token_start, h from cut),
+seqs as (select seq_id, sum(e - p)::bigint as n, sha256(unhex(string_agg(substr(h, 8 * (p - token_start) + 1, 8 * (e - p)), '' order by p))) as digest from part group by seq_id having n = {LENGTH})"""
 
 
 def _sequences(spark, sf):
-    s = C.sequences(packed(spark, sf), LENGTH)
-    return s.select("seq_id", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join("ids", ","), 256).alias("digest"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    s = C.sequences(packed(spark, sf, ALL, None), LENGTH)
+    return s.select("seq_id", (F.octet_length("ids") / 4).cast("long").alias("n"), F.sha2("ids", 256).alias("digest"))
 
 
-@query(SEQ + " select * from seqs")
+@query(STREAM + " select * from seqs")
 def sequence_hashes(spark, sf):
     return _sequences(spark, sf)
 
 
-@query(SEQ + " select * from seqs where seq_id >= 100 and seq_id < 140")
+@query(STREAM + " select * from seqs where seq_id >= 100 and seq_id < 140")
 def sequence_window(spark, sf):
     return _sequences(spark, sf).where("seq_id >= 100 and seq_id < 140")
 
 
-@query(PACKED + f", b as (select document_index, token_start + case when document_index % 11 = 3 then 2 else 0 end as token_start, content_token_count, token_end from bounds), l as (select *, lag(token_end, 1, 0) over (order by document_index) as e from b) select 'not_contiguous' as rule, document_index from l where token_start <> e union all select 'wrong_length', document_index from l where token_end - token_start <> content_token_count + 1")
+@query(STREAM + """, s as (select seq_id, digest, (seq_id - 10) // 64 as batch_id, (seq_id - 10) % 64 as place from seqs where seq_id >= 10),
+z as (select batch_id, count(*) as size from s group by batch_id), r as (select unnest(range(3)) as rank)
+select seq_id, digest, batch_id, place, rank, place - size * rank // 3 as local, (place - size * rank // 3) // 8 as micro_batch from s join z using (batch_id), r where place >= size * rank // 3 and place < size * (rank + 1) // 3""")
+def rank_batches(spark, sf):
+    return ST.dealt(_sequences(spark, sf).drop("n"), 10, 64, 3, 8)
+
+
+@query(EVERY + f", b as (select document_index, token_start + case when document_index % 11 = 3 then 2 else 0 end as token_start, content_token_count, token_end from bounds), l as (select *, lag(token_end, 1, 0) over (order by document_index) as e from b) select 'not_contiguous' as rule, document_index from l where token_start <> e union all select 'wrong_length', document_index from l where token_end - token_start <> content_token_count + 1")
 def boundary_violations(spark, sf):
-    return C.boundary_violations(bounds(spark, sf).withColumn("token_start", F.col("token_start") + F.when(F.col("document_index") % 11 == 3, 2).otherwise(0)))
+    return C.boundary_violations(bounds(spark, sf, ALL, None).withColumn("token_start", F.col("token_start") + F.when(F.col("document_index") % 11 == 3, 2).otherwise(0)))
 
 
-# registry and lanes
-LANES = f"with {DOCS}, lanes as (select content, tok_sha, lang, lang || '-' || split as stage_id, doc_id, bucket from split_)"
+# registry and lanes: each language is a lane, which registers its train and validation stages
+LANES = f"""with {DOCS}, first as (select content, arg_min(struct_pack(doc_id, tok_sha, lang, split, n), doc_id) as r from split_ group by content),
+lanes as (select content as content_sha256, r.tok_sha as token_ids_sha256, r.lang || '-' || r.split as stage_id, 'continual_train' as purpose, r.lang as language, r.split as split, 'source-id-sha256:' || sha256(r.doc_id::varchar) as source_id,
+    r.doc_id as document_index, r.doc_id * 1000 as token_start, r.doc_id * 1000 + r.n + 1 as token_end from first)"""
 
 
 def lanes(spark, sf):
     d = selected(spark, sf, None, None)
-    return d.select("content", H.token_hash(F.col("text")).alias("tok_sha"), "lang", F.concat_ws("-", "lang", "split").alias("stage_id"), "doc_id", H.hash_bucket(SPLIT_SEED, F.col("content")).alias("bucket"))
+    r = d.select(
+        F.col("content").alias("content_sha256"), H.token_hash(F.col("text")).alias("token_ids_sha256"), F.concat_ws("-", "lang", "split").alias("stage_id"), F.lit("continual_train").alias("purpose"), F.col("lang").alias("language"), "split",
+        H.source_id(F.col("doc_id"), F.col("content")).alias("source_id"), F.col("doc_id").alias("document_index"), (F.col("doc_id") * 1000).alias("token_start"), (F.col("doc_id") * 1000 + F.octet_length("text") + 1).alias("token_end"),
+    )
+    return R.first_wins(r, "content_sha256", ["document_index"])
 
 
-@query(LANES + " select stage_id, count(*) as n, count(distinct content) as hashes, max(doc_id) as last_doc from lanes group by stage_id")
+@query(LANES + " select stage_id, count(*) as n, count(distinct content_sha256) as hashes, max(document_index) as last_index from lanes group by stage_id")
 def registry_counts(spark, sf):
-    return lanes(spark, sf).groupBy("stage_id").agg(F.count("*").alias("n"), F.countDistinct("content").alias("hashes"), F.max("doc_id").alias("last_doc"))
+    return R.stage_counts(lanes(spark, sf))
 
 
-@query(LANES + " select lang, count(*) filter (where stage_id like '%-train') as train, count(*) filter (where stage_id like '%-validation') as validation from lanes group by lang")
+@query(LANES + """ select language, count(*) filter (where stage_id = 'en-train') as "en-train", count(*) filter (where stage_id = 'de-train') as "de-train", count(*) filter (where stage_id = 'en-validation') as "en-validation" from lanes group by language""")
 def lane_pivot(spark, sf):
-    return lanes(spark, sf).groupBy("lang").agg(F.count_if(F.col("stage_id").endswith("-train")).alias("train"), F.count_if(F.col("stage_id").endswith("-validation")).alias("validation"))
+    return R.stage_pivot(lanes(spark, sf), ["en-train", "de-train", "en-validation"])
 
 
-@query(LANES + " select content, doc_id, stage_id from lanes where stage_id not like 'fr-%' qualify row_number() over (partition by content order by doc_id) = 1")
+@query(LANES + " select * from lanes where stage_id in ('en-train', 'de-train', 'es-train')")
 def registry_merge(spark, sf):
-    return C.merge_lanes(lanes(spark, sf).where(~F.col("stage_id").startswith("fr-")), "content", ["doc_id"]).select("content", "doc_id", "stage_id")
+    all_ = lanes(spark, sf)
+    return R.merge_lanes([all_.where(F.col("language") == x) for x in ("en", "de", "es", "fr")], ["en-train", "de-train", "es-train"])[0]
+
+
+NEW = "new as (select * replace (case when document_index % 5 = 0 then 'other' else stage_id end as stage_id) from lanes where document_index % 4 = 0)"
+
+
+def _new(rows):
+    return rows.where("document_index % 4 = 0").withColumn("stage_id", F.when(F.col("document_index") % 5 == 0, "other").otherwise(F.col("stage_id")))
+
+
+@query(LANES + f", {NEW}, old as (select * from lanes where document_index % 8 < 5) select n.document_index, o.stage_id as found_stage, case when o.stage_id = n.stage_id then 'duplicate_within_stage' when o.stage_id is not null then 'overlap_registry' end as reason from new n left join old o using (content_sha256)")
+def registry_reasons(spark, sf):
+    rows = lanes(spark, sf)
+    return R.lookup(rows.where("document_index % 8 < 5"), _new(rows)).select("document_index", "found_stage", "reason")
 
 
-CONFLICT = LANES + ", a as (select distinct content, tok_sha, lang from lanes), b as (select content, tok_sha, case when ('0x' || substr(content, 1, 2))::int < 20 then 'xx' else lang end as lang from a)"
+@query(LANES + ", old as (select * from lanes where document_index % 8 < 5) select * from old union all select * from lanes where document_index % 8 >= 5 and stage_id = 'en-train'")
+def registry_register(spark, sf):
+    rows = lanes(spark, sf)
+    return R.register(rows.where("document_index % 8 < 5"), rows.where("stage_id = 'en-train'"))
 
 
-def _conflict(spark, sf, key, other):
-    a = lanes(spark, sf).select("content", "tok_sha", "lang").distinct()
-    b = a.withColumn("lang", F.when(F.conv(F.substring("content", 1, 2), 16, 10).cast("int") < 20, "xx").otherwise(F.col("lang")))
-    return C.conflicts(a, b, key, [other, "lang"])
+CHANGED = "b as (select * replace (case when document_index % 6 = 0 then 'xx' else language end as language, case when document_index % 10 = 0 then null else split end as split, token_end + case when document_index % 7 = 0 then 1 else 0 end as token_end) from lanes)"
 
 
-@query(CONFLICT + " select distinct content from a join b using (content) where a.tok_sha <> b.tok_sha or a.lang <> b.lang")
+def _conflict(spark, sf, key):
+    a = lanes(spark, sf)
+    i = F.col("document_index")
+    b = a.withColumn("language", F.when(i % 6 == 0, "xx").otherwise(F.col("language"))).withColumn("split", F.when(i % 10 != 0, F.col("split"))).withColumn("token_end", F.col("token_end") + F.when(i % 7 == 0, 1).otherwise(0))
+    return R.conflicts(a, b, key)
+
+
+def _conflict_sql(key):
+    other = [c for c in R.COLUMNS if c != key]
+    return LANES + f", {CHANGED} " + " union all ".join(f"select {key}, '{c}' as \"column\" from lanes l join b using ({key}) where l.{c} is distinct from b.{c}" for c in other)
+
+
+@query(_conflict_sql("content_sha256"))
 def registry_conflicts(spark, sf):
-    return _conflict(spark, sf, "content", "tok_sha")
+    return _conflict(spark, sf, "content_sha256")
 
 
-@query(CONFLICT + " select distinct tok_sha from a join b using (tok_sha) where a.content <> b.content or a.lang <> b.lang")
+@query(_conflict_sql("token_ids_sha256"))
 def registry_token_conflicts(spark, sf):
-    return _conflict(spark, sf, "tok_sha", "content")
+    return _conflict(spark, sf, "token_ids_sha256")
 
 
-@query(LANES + " select content, doc_id from lanes where not (stage_id = 'en-train' and doc_id >= 300)")
+@query(LANES + " select content_sha256, document_index from lanes where not (stage_id = 'en-train' and document_index >= 300)")
 def registry_truncate(spark, sf):
-    return lanes(spark, sf).where(~((F.col("stage_id") == "en-train") & (F.col("doc_id") >= 300))).select("content", "doc_id")
+    return R.truncated(lanes(spark, sf), "en-train", 300).select("content_sha256", "document_index")
 
 
-@query(LANES + " select content, doc_id from lanes where doc_id >= 300 and content not in (select content from lanes where doc_id < 300)")
+@query(LANES + """, s as (select * replace (row_number() over (order by document_index) - 1 as document_index) from lanes where stage_id = 'en-train')
+select content_sha256, document_index from s union all select content_sha256, document_index from lanes where stage_id = 'de-train'""")
 def registry_recover(spark, sf):
-    d = lanes(spark, sf)
-    return d.where("doc_id >= 300").join(d.where("doc_id < 300").select("content"), "content", "left_anti").select("content", "doc_id")
+    rows = lanes(spark, sf)
+    en = blocked(rows.where("stage_id = 'en-train'"), [], "document_index", sums={"_i": "1"}).withColumn("document_index", F.col("_i")).select(*R.COLUMNS)
+    have = en.where("document_index < 50").unionByName(rows.where("stage_id = 'de-train'"))
+    return R.recovered(have, en, "en-train").select("content_sha256", "document_index")
 
 
-@query(LANES + " select count(*) as shared from (select content from lanes where stage_id like '%-train' intersect select content from lanes where stage_id like '%-validation')")
+@query(LANES + " select count(*) as shared from (select content_sha256 from lanes where stage_id like '%-train' intersect select content_sha256 from lanes where stage_id like '%-validation')")
 def split_disjoint(spark, sf):
     d = lanes(spark, sf)
-    return d.where(F.col("stage_id").endswith("-train")).select("content").intersect(d.where(F.col("stage_id").endswith("-validation")).select("content")).agg(F.count("*").alias("shared"))
+    return d.where(F.col("stage_id").endswith("-train")).select("content_sha256").intersect(d.where(F.col("stage_id").endswith("-validation")).select("content_sha256")).agg(F.count("*").alias("shared"))
 
 
 @query("select a.event_id, a.value as expected, b.value as actual from events a full join (select event_id, case when event_id % 50 = 0 then value + 1 else value end as value from events where event_id % 33 <> 0) b using (event_id) where a.value is distinct from b.value")
@@ -299,9 +402,19 @@ def eval_schedule(spark, sf):
     return spark.range(0, 501).where(B.evaluates(F.col("id"), 500, [5, 15, 30], 100)).select(F.col("id").alias("step"))
 
 
-@query("select si * 3 + mi as job, 11 + si as seed, ['small', 'base', 'large'][mi + 1] as model, (si * 3 + mi) % 4 as slot from range(2) a(si), range(3) b(mi)")
+@query("select si * 3 + mi as job, 11 + si as seed, ['small', 'base', 'large'][mi + 1] as model, (si * 3 + mi) % 4 as slot, [[2, 4], [5, 7]][(si * 3 + mi) % 2 + 1]::bigint[] as gpus, 29500 + (si * 3 + mi) * 24 as port from range(2) a(si), range(3) b(mi)")
+def slot_allocation(spark, sf):
+    return B.assigned(B.job_matrix(spark, [11, 12], ["small", "base", "large"]), [2, 4, 5, 7], 2, 2, 29500, 5)
+
+
+@query("select si * 3 + mi as job, 11 + si as seed, ['small', 'base', 'large'][mi + 1] as model from range(2) a(si), range(3) b(mi)")
 def job_matrix(spark, sf):
-    return B.job_matrix(spark, [11, 12], ["small", "base", "large"], 4)
+    return B.job_matrix(spark, [11, 12], ["small", "base", "large"])
+
+
+@query("select lang as language, count(*) as sequences, ceil(count(*) / 64.0)::bigint as batches, ceil(ceil(count(*) / 64.0) / 2)::bigint as planned, greatest(1, ceil(0.05 * ceil(ceil(count(*) / 64.0) / 2)))::bigint as warmup from documents group by lang")
+def step_schedule(spark, sf):
+    return B.schedule(t(spark, sf, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("sequences")), 64, 2)
 
 
 @query("select tokens, docs, 4 * tokens + 320 * docs + greatest(1048576, 256 * docs) + least(greatest(1048576, 256 * docs), 2147483648) as bytes from (values (5000000000::bigint, 30000000::bigint), (512, 128)) v(tokens, docs)")
@@ -309,11 +422,10 @@ def storage_estimate(spark, sf):
     return spark.createDataFrame([(5_000_000_000, 30_000_000), (512, 128)], "tokens long, docs long").select("tokens", "docs", B.stage_bytes(F.col("tokens"), F.col("docs")).alias("bytes"))
 
 
-@query("select cycles, (54125440::bigint * 12 + 1048576) as bytes_each, cycles * 9 + cycles as checkpoints, (54125440 * 12 + 1048576) * (cycles * 10) as total from (values (2::bigint), (5)) v(cycles)")
+@query("select cycles, (54125440::bigint * 12 + 1048576) as bytes_each, cycles * 9 + cycles as checkpoints, (54125440 * 12 + 1048576) * (cycles * 10) * 6 as total from (values (2::bigint), (5)) v(cycles)")
 def checkpoint_estimate(spark, sf):
-    each = F.lit(54_125_440 * 12 + (1 << 20)).cast("long")
-    c = F.col("cycles")
-    return spark.createDataFrame([(2,), (5,)], "cycles long").select("cycles", each.alias("bytes_each"), (c * 9 + c).alias("checkpoints"), (each * (c * 10)).alias("total"))
+    d = spark.createDataFrame([(2, 54_125_440), (5, 54_125_440)], "cycles long, parameters long")
+    return d.select("cycles", *[c.alias(n) for n, c in B.checkpoint_bytes(F.col("parameters"), 12, 1 << 20, F.col("cycles"), 8, True, 6).items()])
 
 
 @query("select layers, hidden, layers * (12 * hidden * hidden + 13 * hidden) + 2 * hidden + (151680 + 2048) * hidden as parameters from (values (6::bigint, 320::bigint), (8, 448)) v(layers, hidden)")
@@ -327,17 +439,38 @@ def attention_mask(spark, sf):
     return B.attention_mask(spark, 2, 4)
 
 
-@query("select c as cycle, l as language, c * 8 + l as task_index, c * 1000 as seq_start, (c + 1) * 1000 as seq_end from range(5) a(c), range(8) b(l)")
+SOURCES = """src as (select lang as language, dense_rank() over (order by lang)::bigint - 1 as place, count(*) as available, sha256(lang) as h from documents group by lang)"""
+
+
+def _contract(spark, sf, cycles=CYCLES, sequences=20):
+    d = t(spark, sf, "documents").groupBy(F.col("lang").alias("language")).agg(F.count("*").alias("available"))
+    place = F.row_number().over(W.orderBy("language")).cast("long") - 1  # a row for each language
+    d = d.withColumn("place", place).withColumn("cycle", F.lit(0).cast("long")).withColumn("ordered_data_sha256", F.sha2("language", 256))
+    return B.contract(d, cycles, sequences)
+
+
+@query(f"with {SOURCES}, n as (select max(place) + 1 as n from src) select c as cycle, language, c * n + place as task_index, c * 20 as seq_start, (c + 1) * 20 as seq_end, sha256(h || ':' || c * 20 || ':' || (c + 1) * 20) as view_sha256, (c + 1) * 20 <= available as in_range from src, n, range({CYCLES}) r(c)")
 def contract_windows(spark, sf):
-    c = B.cycle_windows(spark, CYCLES, 1000, 10_000).drop("in_range")
-    return c.crossJoin(spark.range(8).select(F.col("id").alias("language"))).select("cycle", "language", (F.col("cycle") * 8 + F.col("language")).alias("task_index"), "seq_start", "seq_end")
+    return _contract(spark, sf).select("cycle", "language", "task_index", "seq_start", "seq_end", "view_sha256", "in_range")
 
 
-@query("select count(*) as changed from (select r, 10 * r as a from range(40) x(r)) o join (select r, case when r >= 38 then 0 else 10 * r end as a from range(80) x(r)) n using (r) where o.a <> n.a")
+@query(f"with {SOURCES}, n as (select max(place) + 1 as n from src) select 'beyond_source' as rule, (c * n + place)::varchar as detail from src, n, range(40) r(c) where (c + 1) * 20 > available")
+def contract_faults(spark, sf):
+    plan = _contract(spark, sf, 40)
+    return B.contract_faults(plan, plan.select("language").distinct().count(), 40)
+
+
+@query(f"with {SOURCES}, n as (select max(place) + 1 as n from src) select c * n + place as task_index from src, n, range({CYCLES}) r(c) where (c * n + place) % 7 = 3")
 def horizon_prefix(spark, sf):
-    old = spark.range(40).select("id", (F.col("id") * 10).alias("a"))
-    new = spark.range(80).select("id", F.when(F.col("id") >= 38, 0).otherwise(F.col("id") * 10).alias("b"))
-    return old.join(new, "id").where("a <> b").agg(F.count("*").alias("changed"))
+    old, new = _contract(spark, sf), _contract(spark, sf, 8)
+    new = new.withColumn("seq_end", F.col("seq_end") + F.when(F.col("task_index") % 7 == 3, 1).otherwise(0))
+    return B.changed_prefix(old, new, "task_index", ["seq_start", "seq_end"])
+
+
+@query(f"with {SOURCES}, w as (select language, language || '-' || c as stage_id from src, range(5) r(c)) select *, row_number() over (partition by language order by stage_id) - 1 as turn from w where not stage_id like '%-2'")
+def missing_stages(spark, sf):
+    w = t(spark, sf, "documents").select(F.col("lang").alias("language")).distinct().crossJoin(spark.range(5)).select("language", F.concat_ws("-", "language", "id").alias("stage_id"))
+    return B.missing_stages(w, w.where("stage_id like '%-2'"))
 
 
 @query("select i, j, (('0x' || substr(sha256('7:' || i || ':' || j), 1, 8))::ubigint % 1000)::bigint as id, (i * 16 + j) % 5 = 0 as masked from range(50) a(i), range(16) b(j)")
@@ -350,7 +483,13 @@ def synthetic_tokens(spark, sf):
 @query("select i, count(*) filter (where j > 0 and (i * 16 + j) % 5 <> 0) as valid_targets from range(50) a(i), range(16) b(j) group by i")
 def masked_targets(spark, sf):
     labels = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: F.when((F.col("id") * 16 + j) % 5 == 0, -100).otherwise(j))
-    return spark.range(50).select(F.col("id").alias("i"), F.size(F.filter(F.slice(labels, 2, 16), lambda x: x != -100)).cast("long").alias("valid_targets"))
+    return spark.range(50).select(F.col("id").alias("i"), B.masked_targets(labels).alias("valid_targets"))
+
+
+@query("select i, unnest([[j * 4 + k for k in range(4)] for j in range(4)])::bigint[] as part from range(3) r(i)")
+def sequence_segments(spark, sf):
+    ids = F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))
+    return spark.range(3).select(F.col("id").alias("i"), F.explode(B.segments(ids, 4, 16)).alias("part"))
 
 
 # metrics over events
@@ -362,16 +501,21 @@ def weighted_mean_loss(spark, sf):
 
 @query("select event_type, (n // 4) as window_id, count(*) as batches, round(sum(value), 4) as loss_sum, sum(user_id + 1)::bigint as targets from (select *, row_number() over (partition by event_type order by event_id) - 1 as n from events) group by all")
 def slow_windows(spark, sf):
-    n = F.row_number().over(W.partitionBy("event_type").orderBy("event_id")) - 1
-    return t(spark, sf, "events").withColumn("window_id", F.floor(n / 4)).groupBy("event_type", "window_id").agg(F.count("*").alias("batches"), F.round(F.sum("value"), 4).alias("loss_sum"), F.sum(F.col("user_id") + 1).alias("targets"))
+    w = M.count_windows(t(spark, sf, "events"), "event_type", "event_id", 4, {"loss_sum": "value", "targets": "user_id + 1"})
+    return w.select("event_type", "window_id", F.col("n").alias("batches"), F.round("loss_sum", 4).alias("loss_sum"), "targets")
 
 
 @query("select event_id, sum(user_id + 1) over (order by sha256(event_id::varchar))::bigint as tokens, sum(user_id + 1) over (partition by event_type order by event_id)::bigint as task_tokens, row_number() over (partition by event_type order by event_id) as task_step from events")
 def cumulative_counters(spark, sf):
     e = t(spark, sf, "events").withColumn("k", F.sha2(F.col("event_id").cast("string"), 256))
-    w = W.partitionBy("event_type").orderBy("event_id")
-    e = running(e, "k", {"before": "user_id + 1"})
-    return e.select("event_id", (F.col("before") + F.col("user_id") + 1).alias("tokens"), F.sum(F.col("user_id") + 1).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("task_tokens"), F.row_number().over(w).cast("long").alias("task_step"))
+    e = blocked(running(e, "k", {"before": "user_id + 1"}), ["event_type"], "event_id", sums={"task_before": "user_id + 1", "steps": "1"})
+    own = F.col("user_id") + 1
+    return e.select("event_id", (F.col("before") + own).alias("tokens"), (F.col("task_before") + own).alias("task_tokens"), (F.col("steps") + 1).alias("task_step"))
+
+
+@query("select event_id, task, row_number() over (partition by task order by event_id) as task_step from (select event_id, (sum((event_type = 'click')::int) over (order by event_id))::bigint as task from events)")
+def run_states(spark, sf):
+    return M.tasks_of(t(spark, sf, "events").select("event_id", "event_type")).select("event_id", "task", "task_step")
 
 
 MATRIX = "with m as (select event_type as language, event_id // 500 as boundary, avg(value) as ce from events group by all)"
@@ -386,17 +530,19 @@ def forgetting_matrix(spark, sf):
     return M.forgetting(matrix(spark, sf)).select("language", "boundary", *[F.round(c, 6).alias(c) for c in ("ce", "from_first", "from_best")])
 
 
-@query(MATRIX + ", f as (select *, ce - first_value(ce) over (partition by language order by boundary) as d, rank() over (order by language) as r from m) select boundary, round(avg(d), 6) as mean_all, round(avg(d) filter (where language <> 'click'), 6) as mean_prior from f group by boundary")
+@query(MATRIX + ", l as (select language, row_number() over (order by language) - 1 as i, count(*) over () as n from (select distinct language from m)), f as (select m.*, ce - first_value(ce) over (partition by m.language order by boundary) as d, (select language from l where l.i = m.boundary % l.n) as trained from m) select boundary, round(avg(d), 6) as mean_all, round(avg(d) filter (where language <> trained), 6) as mean_prior from f group by boundary")
 def forgetting_summary(spark, sf):
-    f = M.forgetting(matrix(spark, sf))
-    return f.groupBy("boundary").agg(F.round(F.avg("from_first"), 6).alias("mean_all"), F.round(F.avg(F.when(F.col("language") != "click", F.col("from_first"))), 6).alias("mean_prior"))
+    m = matrix(spark, sf)
+    names = m.select("language").distinct().agg(F.sort_array(F.collect_set("language")).alias("names"))  # a handful of languages
+    f = M.forgetting(m).crossJoin(F.broadcast(names)).withColumn("trained", F.element_at("names", (F.col("boundary") % F.size("names") + 1).cast("int")))
+    return M.forgetting_means(f).select("boundary", F.round("mean_all", 6).alias("mean_all"), F.round("mean_prior", 6).alias("mean_prior"))
 
 
-CURVE = "with c as (select event_type as mode, event_id % 4 as cycle, event_id as step, value as ce from events), p as (select *, lag(step) over (partition by mode, cycle order by step) as s0, lag(ce) over (partition by mode, cycle order by step) as c0 from c), a as (select mode, cycle, sum((step - s0) * (ce + c0) / 2) / (max(step) - min(step)) as auc, count(*) as points, avg(ce) as mean_ce, arg_min(ce, step) as first_ce, arg_max(ce, step) as last_ce from p group by mode, cycle)"
+CURVE = "with c as (select event_type as mode, event_id % 4 as cycle, event_id as step, value as ce, event_id * 3 + event_id // 100 as tokens from events), p as (select *, lag(step) over (partition by mode, cycle order by step) as s0, lag(ce) over (partition by mode, cycle order by step) as c0 from c), a as (select mode, cycle, sum((step - s0) * (ce + c0) / 2) / (max(step) - min(step)) as auc, count(*) as points, avg(ce) as mean_ce, arg_min(ce, step) as first_ce, arg_max(ce, step) as last_ce from p group by mode, cycle)"
 
 
 def curves(spark, sf):
-    return t(spark, sf, "events").select(F.col("event_type").alias("mode"), (F.col("event_id") % 4).alias("cycle"), F.col("event_id").alias("step"), F.col("value").alias("ce"))
+    return t(spark, sf, "events").select(F.col("event_type").alias("mode"), (F.col("event_id") % 4).alias("cycle"), F.col("event_id").alias("step"), F.col("value").alias("ce"), (F.col("event_id") * 3 + F.expr("event_id div 100")).alias("tokens"))
 
 
 @query(CURVE + " select mode, cycle, round(auc, 6) as auc, points from a")
@@ -404,9 +550,36 @@ def probe_auc(spark, sf):
     return M.trapezoid(curves(spark, sf), ["mode", "cycle"], "step", "ce").select("mode", "cycle", F.round("auc", 6).alias("auc"), "points")
 
 
-@query(CURVE + " select mode, cycle, points, round(mean_ce, 6) as mean_ce, round(first_ce, 6) as first_ce, round(last_ce, 6) as last_ce from a")
+REPORT = """with c as (select event_type as mode, row_number() over (partition by event_type order by event_id) - 1 as step, event_id * 3 as tokens, value as ce from events),
+p as (select *, lag(step) over w as s0, lag(tokens) over w as t0, lag(ce) over w as c0 from c window w as (partition by mode order by step))
+select mode, count(*) as points, round(sum((step - s0) * (ce + c0) / 2), 4) as step_auc, round(sum((tokens - t0) * (ce + c0) / 2), 4) as token_auc, round(sum((tokens - t0) * (ce + c0) / 2) / (max(tokens) - min(tokens)), 6) as auc, round(avg(ce), 6) as mean_ce,
+    max(ce) filter (where step = 0) as step_0_ce, arg_max(ce, step) as final_ce, max(step) as final_step, max(tokens) as final_tokens, max(ce) filter (where step = 1) as ce_1, max(ce) filter (where step = 5) as ce_5 from p group by mode"""
+
+
+def _dense_curves(spark, sf):
+    e = blocked(t(spark, sf, "events").select("event_id", "event_type", "value"), ["event_type"], "event_id", sums={"step": "1"})
+    return e.select(F.col("event_type").alias("mode"), "step", (F.col("event_id") * 3).alias("tokens"), F.col("value").alias("ce"))
+
+
+@query(REPORT)
 def auc_report(spark, sf):
-    return curves(spark, sf).groupBy("mode", "cycle").agg(F.count("*").alias("points"), F.round(F.avg("ce"), 6).alias("mean_ce"), F.round(F.min_by("ce", "step"), 6).alias("first_ce"), F.round(F.max_by("ce", "step"), 6).alias("last_ce"))
+    r = M.curve_report(_dense_curves(spark, sf), ["mode"], [1, 5])
+    return r.select("mode", "points", *[F.round(c, 4).alias(c) for c in ("step_auc", "token_auc")], F.round("auc", 6).alias("auc"), F.round("mean_ce", 6).alias("mean_ce"), *r.columns[6:])
+
+
+@query("""with c as (select event_type as mode, event_id // 2 as step, event_id // 3 as tokens, case when event_id % 900 = 0 then 'nan'::double else value end as ce from events),
+a as (select mode, count(*) as n, count(distinct step) as s, count(distinct tokens) as k, count(*) filter (where isfinite(ce)) as f, count(*) filter (where step = 0) as z, count(*) filter (where step = 5) as m from c group by mode)
+select mode, unnest(list_filter([case when s < n then 'duplicate_step' end, case when k < n then 'duplicate_tokens' end, case when f < n then 'not_finite' end, case when z = 0 then 'no_step_0' end, case when m = 0 then 'no_step_5' end], lambda x: x is not null)) as fault from a""")
+def curve_faults(spark, sf):
+    e = t(spark, sf, "events")
+    ce = F.when(F.col("event_id") % 900 == 0, float("nan")).otherwise(F.col("value"))
+    return M.curve_faults(e.select(F.col("event_type").alias("mode"), F.expr("event_id div 2").alias("step"), F.expr("event_id div 3").alias("tokens"), ce.alias("ce")), ["mode"], [5])
+
+
+@query("select s as step, case when s % 6 = 0 then 'not_evaluated' else 'not_scheduled' end as fault from range(300) r(s) where (s % 6 = 0 and s % 10 <> 0) or (s % 10 = 0 and s % 6 <> 0)")
+def schedule_coverage(spark, sf):
+    r = spark.range(300).withColumnRenamed("id", "step")
+    return M.coverage_faults(r.where("step % 10 = 0"), r.where("step % 6 = 0"))
 
 
 @query(CURVE + " select mode, cycle, round(100 * (auc / first_value(auc) over (partition by mode order by cycle) - 1), 5) as change from a")
@@ -418,14 +591,29 @@ def auc_pct_change(spark, sf):
 @query(CURVE + " select l.mode, round(l.auc, 6) as left_auc, round(r.auc, 6) as right_auc, round(100 * (r.auc / l.auc - 1), 5) as change from a l join a r using (mode) where l.cycle = 0 and r.cycle = 1")
 def probe_compare(spark, sf):
     a = M.trapezoid(curves(spark, sf), ["mode", "cycle"], "step", "ce")
-    l, r = a.where("cycle = 0").select("mode", F.col("auc").alias("l")), a.where("cycle = 1").select("mode", F.col("auc").alias("r"))
-    return l.join(r, "mode").select("mode", F.round("l", 6).alias("left_auc"), F.round("r", 6).alias("right_auc"), F.round(M.percent_change(F.col("l"), F.col("r")), 5).alias("change"))
+    same = dict.fromkeys(M.PAIRING, 1)
+    return M.paired(a.where("cycle = 0"), a.where("cycle = 1"), same, same).select("mode", F.round("left_auc", 6).alias("left_auc"), F.round("right_auc", 6).alias("right_auc"), F.round("change", 5).alias("change"))
 
 
-@query("select event_id as step, event_type || '/value' as tag, value as v from events where event_id % 10 = 0 union all select event_id, event_type || '/user', user_id::double from events where event_id % 10 = 0")
+@query("select event_id as step, event_type || '/value' as tag, value as v from events where event_id % 10 = 0 union all select event_id, event_type || '/user', user_id::double from events where event_id % 10 = 0 union all select event_id, 'value', value from events where event_id % 10 = 0 and event_type = 'view' union all select event_id, 'user', user_id::double from events where event_id % 10 = 0 and event_type = 'view'")
 def metric_routing(spark, sf):
-    e = t(spark, sf, "events").where("event_id % 10 = 0")
-    return e.select(F.col("event_id").alias("step"), F.explode(F.create_map(F.concat("event_type", F.lit("/value")), F.col("value"), F.concat("event_type", F.lit("/user")), F.col("user_id").cast("double"))).alias("tag", "v"))
+    return M.scalars(t(spark, sf, "events"), "event_id", 10, {"value": "value", "user": "user_id"}, primary="view")
+
+
+@query("select event_id, ts, value * 2 as loss, user_id + 1 as targets from events where event_type = 'click'")
+def event_records(spark, sf):
+    return M.event_rows(t(spark, sf, "events"), "click", ["event_id", "ts"], {"loss": "value * 2", "targets": "user_id + 1"})
+
+
+@query("select event_id // 4 as step, count(*) as ranks, round(sum(value), 6) as value, max(user_id) as user_id, min(event_type) as event_type, count(distinct event_type) <= 1 as agree from events group by 1")
+def rank_sums(spark, sf):
+    e = t(spark, sf, "events").withColumn("step", F.expr("event_id div 4"))
+    return M.across_ranks(e, ["step"], ["value"], ["user_id"], ["event_type"]).withColumn("value", F.round("value", 6))
+
+
+@query("select event_type, round(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 3) as seconds, sum(user_id)::bigint as total, round(sum(user_id) / (epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6), 6) as per_second from events group by event_type")
+def token_throughput(spark, sf):
+    return M.throughput(t(spark, sf, "events"), ["event_type"], "ts", "user_id").select("event_type", F.round("seconds", 3).alias("seconds"), "total", F.round("per_second", 6).alias("per_second"))
 
 
 @query("select event_id, event_type, user_id from (select *, coalesce(max(user_id) over (partition by event_type order by event_id rows between unbounded preceding and 1 preceding), -1) as m from events) where user_id > m")
@@ -435,8 +623,8 @@ def monotone_scalars(spark, sf):
 
 @query("select event_type, max(user_id) as progress, min(event_id) as chosen, count(distinct value) > 1 as ambiguous from (select *, rank() over (partition by event_type order by user_id desc) as r from events) where r = 1 group by event_type")
 def latest_checkpoint(spark, sf):
-    r = F.rank().over(W.partitionBy("event_type").orderBy(F.desc("user_id")))
-    return t(spark, sf, "events").withColumn("r", r).where("r = 1").groupBy("event_type").agg(F.max("user_id").alias("progress"), F.min("event_id").alias("chosen"), (F.countDistinct("value") > 1).alias("ambiguous"))
+    e = t(spark, sf, "events").withColumn("progress", F.col("user_id"))
+    return M.latest(e, ["event_type"], ["progress"], "event_id", "value")
 
 
 @query("select event_type, bool_and(value >= 0) as complete, max(event_id) as last_event, sum(user_id)::bigint as total, count(*) as n from events group by event_type")
@@ -450,38 +638,89 @@ def ordered_digest(spark, sf):
     return M.ordered_digest(d, ["lang"], "doc_id", "h")
 
 
-@query("select min(label)::int as least, max(label)::int as most, count(distinct label) as ids, 100 - max(label)::bigint - 1 as unused_tail from embeddings")
+@query("select min(label)::int as least, max(label)::int as most, count(distinct label) as ids, 100 - max(label)::bigint - 1 as unused_tail, min(label) >= 0 and max(label) < 100 as valid from embeddings")
 def vocab_contract(spark, sf):
-    return t(spark, sf, "embeddings").agg(F.min("label").cast("int").alias("least"), F.max("label").cast("int").alias("most"), F.countDistinct("label").alias("ids"), (99 - F.max("label").cast("long")).alias("unused_tail"))
+    v = vocabulary(t(spark, sf, "embeddings"), 100, "label")
+    return v.select(F.col("least").cast("int").alias("least"), F.col("most").cast("int").alias("most"), "ids", F.col("unused_tail").cast("long").alias("unused_tail"), "valid")
 
 
 @query("select label, round(sqrt(sum(list_sum(list_transform(embedding, lambda x: x::double * x::double)))), 4) as norm from embeddings group by label")
 def l2_norm(spark, sf):
-    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return t(spark, sf, "embeddings").groupBy("label").agg(F.round(F.sqrt(F.sum(square)), 4).alias("norm"))
+    return M.l2_norm(t(spark, sf, "embeddings"), ["label"], "embedding").withColumn("norm", F.round("norm", 4))
 
 
-@query("select 'duplicate' as k, count(*) - count(distinct event_id) as n from events")
+@query("select 'event' as k, count(*) - count(distinct event_id) as n from events union all select 'user', count(*) - count(distinct user_id) from events")
 def uniqueness_guard(spark, sf):
-    return t(spark, sf, "events").agg(F.lit("duplicate").alias("k"), (F.count("*") - F.countDistinct("event_id")).alias("n"))
+    return M.repeated(t(spark, sf, "events"), {"event": "event_id", "user": "user_id"})
 
 
 @query("select count(distinct text) as documents from documents")
 def stream_dedup(spark, sf):
-    from .streaming.jobs import distinct_documents
-
     return distinct_documents(spark, sf).agg(F.count("*").alias("documents"))
 
 
 @query(None)
 def buffered_order(spark, sf):
-    from .operators.order import buffered
-
     return buffered(selected(spark, sf).select("doc_id", "ord"), "ord", seed=31, buffer_size=16)
 
 
-@query(None)
-def packed_roundtrip(spark, sf):
-    from .sources.packed import roundtrip
+def _stage(spark, sf):
+    """Written shards and boundaries of the whole table's train split, and what the boundaries say."""
+    path = scratch(spark, "stage")
+    p = packed(spark, sf, ALL, None).withColumn("source_id", H.source_id(F.col("doc_id"), F.col("content")))
+    ST.boundaries_of(p).write.json(f"{path}/boundaries")
+    parts = C.fragments(p, SHARD, H.token_bytes(F.col("text"))).withColumnRenamed("part", "shard_index")
+    parts.repartitionByRange("shard_index", "p").sortWithinPartitions("shard_index", "p").write.partitionBy("shard_index").parquet(f"{path}/tokens")
+    return ST.read_shards(spark, path), ST.read_boundaries(spark, path)
 
-    return roundtrip(C.sequences(packed(spark, sf), LENGTH), SHARD)
+
+@query(STREAM + " select seq_id, digest from seqs")
+def packed_roundtrip(spark, sf):
+    """Sequences read back from written shards are slices of the stream."""
+    return ST.read_sequences(_stage(spark, sf)[0], LENGTH).select("seq_id", F.sha2("ids", 256).alias("digest"))
+
+
+@query(EVERY + ", s as (select 0 as shard_index, string_agg(regexp_replace(hex(encode(text)), '(..)', '\\1000000', 'g') || 'FF000000', '' order by token_start) as h from bounds) select shard_index::bigint as shard_index, (length(h) // 8)::bigint as token_count, (length(h) // 2)::bigint as bytes, 255::bigint as most, sha256(unhex(h)) as sha256 from s")
+def shard_checksums(spark, sf):
+    """SQL holds while a table fits one shard."""
+    return ST.shard_digests(_stage(spark, sf)[0])
+
+
+FAULTS = """f as (select document_index, 'source-id-sha256:' || sha256(doc_id::varchar) as source_id, content_sha256, token_ids_sha256, token_start, content_token_count, token_end, split, true as eos_after, truncated, document_index % 97 as c, max(token_end) over () as total from bounds),
+g as (select * replace (case when c = 1 then '' else source_id end as source_id, case when c = 2 then upper(content_sha256) else content_sha256 end as content_sha256, case when c = 3 then 'x' else token_ids_sha256 end as token_ids_sha256,
+    case when c = 4 then 'test' else split end as split, c <> 5 as eos_after, case when c = 6 then null else truncated end as truncated, case when c = 7 then 0 else content_token_count end as content_token_count,
+    case when c = 8 then token_start + 1 else token_start end as token_start, case when c = 9 then token_end - 1 when c = 10 then token_start when c = 11 then total + 5 else token_end end as token_end) from f),
+h as (select *, lag(token_end, 1, 0) over (order by document_index) as before from g)"""
+
+
+@query(EVERY + f""", {FAULTS} select unnest(list_filter([case when token_start <> before then 'not_contiguous' end, case when token_end <= token_start then 'empty_or_inverted' end, case when token_end > total then 'beyond_tokens' end,
+    case when content_token_count <= 0 then 'no_content' end, case when token_end - token_start <> content_token_count + 1 then 'wrong_length' end, case when not eos_after then 'eos_flag' end, case when truncated is null then 'truncated_flag' end,
+    case when split not in ('train', 'validation') then 'unknown_split' end, case when source_id = '' then 'no_source_id' end, case when not regexp_full_match(content_sha256, '[0-9a-f]{{64}}') then 'content_hash_format' end,
+    case when not regexp_full_match(token_ids_sha256, '[0-9a-f]{{64}}') then 'token_hash_format' end, case when c in (9, 11) or (c = 10 and document_index = 0) then 'no_eos_token' end], lambda x: x is not null)) as rule, document_index from h""")
+def boundary_rules(spark, sf):
+    """Each rule with faults put in by the remainder of the index."""
+    shards, b = _stage(spark, sf)
+    total = b.agg(F.max("token_end")).first()[0]
+    c = F.col("document_index") % 97
+    put = lambda k, v, col: F.when(c == k, v).otherwise(F.col(col))
+    end = F.when(c == 9, F.col("token_end") - 1).when(c == 10, F.col("token_start")).when(c == 11, F.lit(total + 5)).otherwise(F.col("token_end"))
+    b = b.withColumns({
+        "token_end": end, "source_id": put(1, F.lit(""), "source_id"), "content_sha256": put(2, F.upper("content_sha256"), "content_sha256"), "token_ids_sha256": put(3, F.lit("x"), "token_ids_sha256"), "split": put(4, F.lit("test"), "split"),
+        "eos_after": c != 5, "truncated": put(6, F.lit(None), "truncated"), "content_token_count": put(7, F.lit(0), "content_token_count"), "token_start": put(8, F.col("token_start") + 1, "token_start"),
+    })
+    return ST.boundary_rules(b, shards, total)
+
+
+@query("select event_type as tag, event_id, user_id as step from (select *, coalesce(max(user_id) over (partition by event_type order by event_id rows between unbounded preceding and 1 preceding), -1) as m from events) where user_id > m")
+def stream_monotone(spark, sf):
+    """One micro-batch of a file in the order of its ids: the stream's answer is the batch operator's."""
+    path = scratch(spark, "events")
+    t(spark, sf, "events").select("event_id", "event_type", "user_id").coalesce(1).sortWithinPartitions("event_id").write.parquet(f"{path}/events.parquet")
+    return drained(monotone_stream(stream_of(spark, path, "events")))
+
+
+@query("""with d as (select doc_id, sha256(text) as c from documents where text <> ''), o as (select min(doc_id) as first_id, c from d group by c)
+select doc_id, case when doc_id <> first_id then 'duplicate_within_stage' end as reason from d join o using (c)""")
+def stream_registry(spark, sf):
+    path = scratch(spark, "ingest")
+    return ingest(stream_of(spark, sf, "documents"), f"{path}/registry", "en", path).select(F.col("document_index").alias("doc_id"), "reason")

@@ -3,13 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.hashing import content_hash
+from ..operators import registry as R
+from ..operators.corpus import validity
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; a local session (tests) may do without that."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stream_of(spark: SparkSession, sf: str, name: str, files_per_trigger: int = 4) -> DataFrame:
@@ -17,22 +33,56 @@ def stream_of(spark: SparkSession, sf: str, name: str, files_per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/{name}.parquet*")
 
 
-def drained(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, into Parquet, and read the result."""
+def drained(df: DataFrame, mode: str = "append", path: str | None = None, seconds: int | None = None) -> DataFrame:
+    """Run a stream over what is there, into Parquet, and read the result. With the same path it goes on where it stopped;
+    after `seconds` it is stopped and fails."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-    path = f"{root.rstrip('/')}/stream-{abs(hash((id(df), tempfile.mktemp())))}"
+    path = path or scratch(spark, "stream")
     q = df.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    if not q.awaitTermination(seconds) and seconds is not None:
+        q.stop()
+        raise TimeoutError(f"the stream took more than {seconds} seconds")
     return spark.read.schema(df.schema).parquet(f"{path}/data")
 
 
 def distinct_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Valid documents of a stream, the first of each content; state: one hash for each distinct text."""
+    """Valid documents of a stream, the first of each content. State grows by one hash for each distinct text, for as long as
+    the stream lives: a stage is bounded by its caps; use `ingest` for what outlives a stage."""
     s = stream_of(spark, sf, "documents").where("text is not null and text <> ''").withColumn("content", content_hash(F.col("text")))
     return drained(s.dropDuplicates(["content"]).select("doc_id", "content"))
 
 
+def ingest(stream: DataFrame, root: str, stage: str, path: str, order: str = "doc_id", text: str = "text") -> DataFrame:
+    """Dedup across batches and stages with reasons: each micro-batch is checked against the registry below `root`, what is
+    new is registered, and (batch, order, content, reason) rows are written; a batch that is repeated after a failure
+    replaces its own rows and registers nothing twice. Returns the rows."""
+    spark = stream.sparkSession
+
+    def take(batch: DataFrame, number: int) -> None:
+        now = R.opened(spark, root)
+        rows = batch.select(F.col(order).cast("long").alias("document_index"), content_hash(F.col(text)).alias("content_sha256"), validity(F.col(text)).alias("bad"))
+        rows = rows.withColumn("stage_id", F.lit(stage)).withColumn("origin", F.lit(f"{stage}/{number}"))
+        mine = now.where(F.col("source_id") == f"{stage}/{number}").select(F.col("content_sha256").alias("own"), F.col("document_index").alias("own_index"))
+        found = R.lookup(now.where(F.col("source_id") != f"{stage}/{number}"), rows.where("bad is null"))
+        first = found.where("reason is null").groupBy("content_sha256").agg(F.min("document_index").alias("least"))
+        found = found.join(first, "content_sha256", "left")
+        reason = F.coalesce("bad", "reason", F.when(F.col("document_index") != F.col("least"), "duplicate_within_stage"))
+        done = found.select("document_index", "content_sha256", reason.alias("reason")).unionByName(rows.where("bad is not null").select("document_index", "content_sha256", F.col("bad").alias("reason")))
+        done.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        kept = spark.read.schema(done.schema).parquet(f"{path}/rows/batch={number}").where("reason is null")
+        new = kept.join(mine, (F.col("content_sha256") == F.col("own")) & (F.col("document_index") == F.col("own_index")), "left_anti")
+        new = new.select(
+            "content_sha256", F.col("content_sha256").alias("token_ids_sha256"), F.lit(stage).alias("stage_id"), F.lit("inspection").alias("purpose"), F.lit(None).cast("string").alias("language"),
+            F.lit(None).cast("string").alias("split"), F.lit(f"{stage}/{number}").alias("source_id"), "document_index", F.lit(0).cast("long").alias("token_start"), F.lit(0).cast("long").alias("token_end"),
+        )
+        if new.limit(1).count():
+            R.commit(now.unionByName(new.select(*R.COLUMNS)), root)
+
+    q = stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("document_index long, content_sha256 string, reason string, batch int").parquet(f"{path}/rows")
+
+
 def monotone_stream(events: DataFrame, tag: str = "event_type", step: str = "user_id") -> DataFrame:
     """Events whose step exceeds all that came before for their tag; state: the last step of each tag."""
     def keep(key, frames, state):
@@ -47,3 +97,23 @@ def monotone_stream(events: DataFrame, tag: str = "event_type", step: str = "use
         state.update((last,))
 
     return events.groupBy(tag).applyInPandasWithState(keep, "tag string, event_id long, step long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+class Progress(StreamingQueryListener):
+    """Hands (batch, rows, rows a second) of each micro-batch to a callback."""
+
+    def __init__(self, say: Callable[..., None]):
+        self.say = say
+
+    def onQueryStarted(self, event) -> None:
+        self.say("started", name=event.name)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.say("progress", batch=p.batchId, rows=p.numInputRows, per_second=p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.say("ended", error=event.exception)
