@@ -6,13 +6,14 @@ with a proven bound) are broadcast, so that copies in hot groups are decided map
 
 from __future__ import annotations
 
-import string
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .common import fresh, materialize
@@ -23,9 +24,11 @@ COUNTERS = 4096
 MIN_COPIES = 32
 
 
-def text_digest(text: Column) -> Column:
-    """SHA-256 of the text with A-Z lower-cased; null counts as empty."""
-    return F.unhex(F.sha2(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256))
+@F.arrow_udf(returnType=T.BinaryType())
+def text_digest(text: pa.Array) -> pa.Array:
+    """SHA-256 of the text with A-Z lower-cased (bytes.lower() changes ASCII only); null counts as empty. Built-in
+    translate and sha2 give the same, and took three times as long."""
+    return pa.array([hashlib.sha256((t or b"").lower()).digest() for t in text.cast(pa.binary()).to_pylist()], pa.binary())
 
 
 def shrink(counts: Counter, k: int) -> Counter:
