@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -90,9 +91,18 @@ def exclusive_prefix(df: DataFrame, key: str, value: str, out: str, block: int =
     return df.join(totals, b).withColumn(out, (F.col(out) + F.col("base")).cast("long")).drop(b, "base")
 
 
+def give_back() -> None:
+    """Hand memory that is free in this process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: int, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut or join record batches so that each piece has about max_bytes of text, and CHUNK_ROWS rows at most; whole rows,
-    in order, none dropped."""
+    in order, none dropped. At the end the worker gives free memory back, as it may stay idle for a while."""
     held: list[pa.RecordBatch] = []
     total = rows = 0
     for batch in batches:
@@ -111,6 +121,8 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: int, max_bytes: int = C
         held.append(batch.slice(start))
     if held:
         yield held[0] if len(held) == 1 else pa.concat_batches(held)
+    held.clear()
+    give_back()
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
