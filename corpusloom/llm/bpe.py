@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import CHUNK_BYTES, as_bytes, place, schema_with, text_chunks
+from .common import CHUNK_BYTES, as_bytes, give_back, place, schema_with, text_chunks
 
 #: Distinct words that a worker remembers: twice this many, in two generations; the older one is dropped.
 CACHE_WORDS = 250_000
@@ -98,12 +98,12 @@ class Codec:
         self.tokens = {i: t for t, i in self.ranks.items()}
         self.pattern = regex.compile(FASTER.get(pattern, pattern))
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.cache_words = CACHE_WORDS
+        self.cache_words, self.query_bytes = CACHE_WORDS, QUERY_BYTES
         self.young: dict[str, bytes] = {}  # word: its ids
         self.old: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})  # never spills to a local disk
-        parts = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        left, right, whole = np.array(parts, dtype=np.int64).reshape(-1, 3).T
+        flat = (x for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks for x in (self.ranks[t[:k]], self.ranks[t[k:]], i))
+        left, right, whole = np.fromiter(flat, dtype=np.int64).reshape(-1, 3).T
         pairs = left << 20 | right
         self._load("merges", pa.table({"pair": pairs, "id": whole.astype(np.int32)}))
         self._load("turns", pa.table({"pair": pairs[whole < np.maximum(left, right)]}))
@@ -111,6 +111,7 @@ class Codec:
         for t in self.ranks:
             at = list(set(t))
             self.reach[at] = np.maximum(self.reach[at], len(t))
+        give_back()
         # a byte is written as the character 256 + byte, so that any bytes make a string
         self._load("vocab", pa.table({"id": pa.array(self.tokens, pa.int32()), "s": ["".join(chr(256 + b) for b in t) for t in self.tokens.values()]}))
 
@@ -124,7 +125,7 @@ class Codec:
         out: list[bytes] = []
         ends = np.cumsum([len(w) for w in words])
         while (at := len(out)) < len(words):
-            limit = QUERY_BYTES + (ends[at - 1] if at else 0)
+            limit = self.query_bytes + (ends[at - 1] if at else 0)
             out += self._merge(words[at : min(at + QUERY_WORDS, max(at + 1, int(np.searchsorted(ends, limit, side="right"))))])
         return out
 
@@ -198,12 +199,12 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = True, cache_words: int | None = None, chunk_bytes: int = CHUNK_BYTES, keep_text: bool = True) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: bool = True, cache_words: int | None = None, chunk_bytes: int = CHUNK_BYTES, query_bytes: int = QUERY_BYTES, keep_text: bool = True) -> DataFrame:
     """All columns of `docs` with token_ids (binary: little-endian uint32; only if `ids`), n_tokens (long), ids_sha256 and
     decoded_sha256 (lowercase hex; the latter of the bytes decoded from the ids) added or replaced.
 
     Null and empty text have no ids. Texts of any length are encoded whole. No rows: no rows. The rank file must exist
-    under the same path on every executor. cache_words and chunk_bytes trade a worker's memory for time, not results.
+    under the same path on every executor. cache_words, chunk_bytes and query_bytes trade a worker's memory for time, not results.
     Without keep_text the texts are not sent back.
     """
     fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
@@ -214,7 +215,7 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        c.cache_words = CACHE_WORDS if cache_words is None else cache_words
+        c.cache_words, c.query_bytes = CACHE_WORDS if cache_words is None else cache_words, query_bytes
         for batch in text_chunks(batches, at, chunk_bytes):
             found = c.encode([b.decode() for b in as_bytes(batch.column(at))])
             back = c.decode(found)
