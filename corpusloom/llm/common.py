@@ -100,6 +100,14 @@ def give_back() -> None:
         pass
 
 
+def give_back_heap(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect garbage, so that they hand heap that is free to the system: a heap that an earlier
+    step made grow stays that large otherwise, beside the Python workers of the next. A task for each core; an executor
+    that gets none keeps its heap. Results don't depend on it."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: int, max_bytes: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut or join record batches so that each piece has about max_bytes of text, and CHUNK_ROWS rows at most; whole rows,
     in order, none dropped. At the end the worker gives free memory back, as it may stay idle for a while."""

@@ -100,3 +100,11 @@ def test_no_rows(spark, sf, no_docs):
 
 def test_order_of_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "encoding"]
+
+
+def test_each_stage_begins_with_a_collected_heap(spark, no_docs):
+    beans = lambda: spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    assert corpus_pipeline.prepared(lambda s, docs, d: docs)(spark, no_docs, "") is no_docs
+    assert full() > before
