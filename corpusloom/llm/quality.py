@@ -1,8 +1,8 @@
 """Quality rules: robust multivariate outliers of document statistics.
 
 Per language and source, the minimum-covariance-determinant estimate of transformed statistics gives centre and scatter;
-documents at a large Mahalanobis distance are rejected. Concentration goes from three starts until the chosen rows are the
-same twice, and the least determinant counts. It covers all rows: each step is an aggregation per group over the whole
+documents at a large Mahalanobis distance are rejected. Concentration goes from three starts until the chosen rows are
+those of an earlier step, and the least determinant counts. It covers all rows: each step is an aggregation per group over the whole
 table of statistics, combined before it is shuffled. The statistics are rounded to a fixed grid, so all sums are exact
 integers, and the outcome doesn't depend on partitions or on the order of rows.
 
@@ -215,20 +215,27 @@ def concentrate(rows: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def least_determinants(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """The model of least determinant of each group, after concentration from all starts until nothing changes."""
-    moving = sized(starts(rows), "mcd-start")
+    """The model of least determinant of each group, after concentration from all starts until one's chosen rows are the
+    same again. As rows are chosen by whole bins, that can be a cycle of a few choices; the least determinant of it counts."""
+    state = F.struct("n", "s", "q", "log_det")
+    moving = starts(rows).withColumn("path", F.array().cast("array<struct<n:bigint,s:array<bigint>,q:array<bigint>,log_det:double>>"))
+    moving = sized(moving, "mcd-start")
     settled: DataFrame | None = None
     for _ in range(steps):
         now = sized(concentrate(rows, moving).mapInPandas(solve(), MODEL), "mcd")
-        same = now.join(moving.select("g", "k", F.col("n").alias("n0"), F.col("s").alias("s0"), F.col("q").alias("q0")), ["g", "k"])
-        same = same.withColumn("same", (F.col("n") == F.col("n0")) & (F.col("s") == F.col("s0")) & (F.col("q") == F.col("q0"))).drop("n0", "s0", "q0")
-        same = sized(same, "mcd-moved")
-        done = same.where("same").drop("same")
+        now = now.join(moving.select("g", "k", "path"), ["g", "k"])
+        now = now.withColumn("at", F.array_position(F.transform("path", lambda p: F.struct(p.n, p.s, p.q)), F.struct("n", "s", "q"))).withColumn("path", F.concat("path", F.array(state)))
+        now = sized(now, "mcd-moved")
+        cycle = F.slice("path", F.col("at").cast("int"), (F.size("path") - F.col("at")).cast("int"))
+        best = F.array_min(F.transform(cycle, lambda p: F.struct(p.log_det, p.n, p.s, p.q)))
+        done = now.where("at > 0").withColumn("best", best).select("g", "k", "best.*")
         settled = done if settled is None else settled.unionByName(done)
-        moving = F.broadcast(same.where("not same").drop("same")) if fits(same) else same.where("not same").drop("same")
+        moving = now.where("at = 0").drop("at")
+        moving = F.broadcast(moving) if fits(now) else moving
         if not moving.limit(1).count():
             break
-    settled = moving if settled is None else settled.unionByName(moving)
+    rest = moving.select("g", "k", "log_det", "n", "s", "q")
+    settled = rest if settled is None else settled.unionByName(rest)
     return settled.groupBy("g").agg(F.min_by(F.struct("k", "n", "s", "q"), F.struct("log_det", "k")).alias("x")).select("g", "x.*")
 
 

@@ -77,6 +77,23 @@ def test_estimate_equals_brute_force_and_scatter_decides(spark):
     assert squared(far, *found["tight"])[0] > quality.CUTOFF > squared(far, *found["wide"])[0]
 
 
+def test_cycle_of_choices_ends_with_its_least_determinant(spark, monkeypatch):
+    """Whole bins make the first start of these rows alternate between two choices from the sixth step on."""
+    rng = np.random.default_rng(0)
+    v = np.round(rng.normal(size=(3000, 5)) * [300, 900, 200, 700, 2000] * rng.choice([1, 1, 1, 3], (3000, 1))).astype(int)
+    lower = lambda a: np.sort(a, axis=0)[(len(a) + 1) // 2 - 1]
+    v -= lower(v)
+    mad = np.maximum(np.round(lower(abs(v)) * 1.4826).astype(int), 1).tolist()
+    calls, step = [], quality.concentrate
+    monkeypatch.setattr(quality, "concentrate", lambda rows, models: calls.append(1) or step(rows, models))
+    rows = spark.createDataFrame([("g", x, mad) for x in v.tolist()], "g string, v array<long>, mad array<long>")
+    (r,) = quality.least_determinants(rows).collect()
+    cov = np.zeros((5, 5))
+    for (i, j), x in zip(quality.PAIRS, r["q"]):
+        cov[i, j] = cov[j, i] = (x - r["s"][i] * r["s"][j] / r["n"]) / r["n"]
+    assert len(calls) < 20 and np.linalg.slogdet(cov + np.eye(5) * quality.RIDGE)[1] < 63.74
+
+
 def test_verdicts(spark, sf, no_docs):
     got = op2_quality(spark, sf).collect()
     assert len(got) == 200 and all(not r["kept"] for r in got if r["base_failed"])
