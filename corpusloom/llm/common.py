@@ -174,7 +174,8 @@ def keep_least(docs: DataFrame, rows: DataFrame, nodes: DataFrame, key_of: Calla
     """The row of `docs` for the least (doc_id, key), null ids last, of each root in `nodes` (root, doc_id, key), with all
     columns; one of several rows that share both. `rows` has (doc_id, key) of every row, key_of(text) makes a key again.
 
-    Ids that one row has are kept by a semi-join; keys are made again only for rows without an id or with a shared one."""
+    Rows whose id one row has stay unless it is among the ids that go, which are broadcast if they fit; keys are made again
+    only for rows without an id or with a shared one."""
     least = nodes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x"))
     k, x, i, f = (fresh(docs, c) for c in ("least_id", "least_key", "own_id", "own_key"))
     least = materialize(least.select(F.col("x.doc_id").alias(k), F.col("x.key").alias(x)), "kept")
@@ -183,7 +184,11 @@ def keep_least(docs: DataFrame, rows: DataFrame, nodes: DataFrame, key_of: Calla
     names = [F.col(f"`{c}`") for c in docs.columns]
     docs = docs.withColumn(i, F.col(f"`{doc_id}`"))
     once = least.where(F.col(k).isNotNull()).join(shared, F.col(k) == F.col(i), "left_anti").select(F.col(k).alias(i))
-    kept = docs.join(once, i, "left_semi").select(names)
+    lost = materialize(rows.where("doc_id is not null").select(F.col("doc_id").alias(i)).join(once, i, "left_anti").distinct(), "lost")
+    if fits(lost):
+        kept = docs.where(F.col(i).isNotNull()).join(F.broadcast(lost), i, "left_anti").select(names)
+    else:
+        kept = docs.join(sized(once, "kept-once"), i, "left_semi").select(names)
     again = least.where(F.col(k).isNull()).unionByName(least.join(shared, F.col(k) == F.col(i), "left_semi"))
     again = materialize(again, "kept-by-key")
     if not again.limit(1).count():
